@@ -82,3 +82,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Mark for broadcast only if a count proves that df has at most so many rows; else leave the join to shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded_sample(marked: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+    """docs(doc_id, ...) joined with marked(doc_id, _y), for at most `rows` of its ids, those of the smallest hashes.
+
+    The ids are chosen before any text is read, and as their number is bounded they are broadcast: no text is shuffled.
+    """
+    ids = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.join(F.broadcast(ids), "doc_id")
+
+
+def first_rows(sample: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of the sample, whatever the number of rows that an id has."""
+    return sample.orderBy(F.xxhash64("doc_id"), F.xxhash64(*[c for c in sample.columns if c != "doc_id"])).limit(rows)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import ngrams
-from logweave.llm.common import arrow_map, byte_lists, crc_mod, packed, utf8
+from logweave.llm.common import arrow_map, bounded_sample, byte_lists, crc_mod, first_rows, packed, utf8
 
 ORDERS, BITS = (1, 2, 3), 16
 #: Upper bound of the labelled rows that a fit gathers; the smallest hashes of the ids are taken.
@@ -151,7 +151,8 @@ def fit_from(docs: DataFrame, rows: int = MAX_FIT_ROWS) -> LanguageModel:
     """idf over all training documents; weights from at most `rows` of them (the bound is the parameter)."""
     known = training_rows(docs)
     idf = inverse_frequencies(known)
-    sample = known.orderBy(F.xxhash64("doc_id"), "text").limit(rows).select("text", "_lang").collect()
+    ids = known.select("doc_id").groupBy("doc_id").agg(F.lit(1).alias("_y"))
+    sample = first_rows(bounded_sample(ids, known, rows), rows).select("text", "_lang").collect()
     return fit([bytes(r.text) for r in sample], [r._lang for r in sample], idf)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import arrow_map, byte_lists, crc_mod, packed, utf8
+from logweave.llm.common import arrow_map, bounded_sample, byte_lists, crc_mod, first_rows, packed, utf8
 
 #: Upper bound of the labelled rows that a fit gathers (their features only); the smallest hashes of the ids are taken.
 MAX_FIT_ROWS = 20000
@@ -110,15 +110,15 @@ def fit(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, pairs: int = PAIRS
 
 
 def featurize(docs: DataFrame, keep: str = "doc_id long") -> DataFrame:
-    """The kept id column and the feature vector of every row's whole text."""
-    name = keep.split()[0]
-    schema = pa.schema([(name, pa.int64()), ("features", pa.list_(pa.float64()))])
+    """The kept columns, of type long, and the feature vector of every row's whole text."""
+    names = [x.split()[0] for x in keep.split(", ")]
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("features", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
-            yield packed({name: batch.column(name), "features": [features(t) for t in byte_lists(batch)]}, schema)
+            yield packed({n: batch.column(n) for n in names} | {"features": [features(t) for t in byte_lists(batch)]}, schema)
 
-    return arrow_map(docs.select(F.col(name).cast("long"), utf8().alias("text")), run, f"{keep}, features array<double>")
+    return arrow_map(docs.select(*names, utf8().alias("text")), run, f"{keep}, features array<double>")
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = MAX_FIT_ROWS) -> QualityModel:
@@ -127,9 +127,10 @@ def fit_from(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
     Null labels, null ids and null texts aren't learnt from; with several labels of one document the lowest counts.
     """
     marked = labels.select("doc_id", F.col("quality").alias("_y")).where("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.min("_y").alias("_y"))
-    known = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (crc_mod("doc_id", 4) != 2)).join(marked, "doc_id")
-    chosen = known.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(rows).select(F.col("_y").cast("long").alias("label"), "text")
-    sample = featurize(chosen, "label long").toPandas()
+    marked = marked.where(crc_mod("doc_id", 4) != 2)
+    known = bounded_sample(marked, docs.where("text is not null").select("doc_id", "text"), rows)
+    x = featurize(known.select(F.col("doc_id").cast("long"), F.col("_y").cast("long").alias("label"), "text"), "doc_id long, label long")
+    sample = first_rows(x, rows).toPandas()
     return fit(np.array(sample["features"].tolist()), sample["label"].to_numpy(), threshold)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import ngrams
-from logweave.llm.common import arrow_map, byte_lists, crc_mod, packed, utf8
+from logweave.llm.common import arrow_map, bounded_sample, byte_lists, crc_mod, first_rows, packed, utf8
 
 ORDERS, BITS, WIDTH = (3, 4, 5), 18, 8
 #: Upper bound of the labelled rows that a fit gathers; the smallest hashes of the ids are taken.
@@ -98,8 +98,8 @@ def fit_from(docs: DataFrame, labels: DataFrame, rows: int = MAX_FIT_ROWS) -> To
     Null labels and null ids aren't learnt from; a document with several labels counts as toxic if any says so.
     """
     marked = labels.select("doc_id", F.col("toxic").alias("_y")).where("doc_id is not null and _y is not null").groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    known = docs.select("doc_id", utf8().alias("_t")).where(F.col("_t").isNotNull() & (crc_mod("doc_id", 4) != 2)).join(marked, "doc_id")
-    sample = known.orderBy(F.xxhash64("doc_id"), "_t").limit(rows).select("_t", "_y").collect()
+    texts = docs.select("doc_id", utf8().alias("_t")).where("_t is not null")
+    sample = first_rows(bounded_sample(marked.where(crc_mod("doc_id", 4) != 2), texts, rows), rows).select("_t", "_y").collect()
     return fit([bytes(r._t) for r in sample], np.array([int(r._y > 0) for r in sample], np.int64))
 
 
