@@ -96,3 +96,13 @@ def bounded_sample(marked: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
 def first_rows(sample: DataFrame, rows: int) -> DataFrame:
     """At most `rows` of the sample, whatever the number of rows that an id has."""
     return sample.orderBy(F.xxhash64("doc_id"), F.xxhash64(*[c for c in sample.columns if c != "doc_id"])).limit(rows)
+
+
+def tokenizer_path(name: str, folder: str | None = None) -> str:
+    """A public vocabulary file: in the given folder, in LOGWEAVE_TOKENIZERS, or where the installed package has it."""
+    folder = folder or os.environ.get("LOGWEAVE_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from math import log
 
@@ -32,7 +33,7 @@ MARK = "▁"
 OWN = "\ud800"
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
-MEMO = 500_000
+MEMO = 800_000
 
 
 class Pieces:
@@ -63,9 +64,30 @@ class Pieces:
         self.chained = not any(MARK in n.lstrip(MARK) or "\n" in n for n in self.of)
         self.byte_score = lowest
         self.raw = {k: bytes([b]) for b, k in enumerate(self.bytes)} | {k: names[k].replace(MARK, " ").encode() for k in normal}
-        self.known: dict[str, tuple[float, float, bytes]] = {}
+        self.trie: dict = {}
+        for name, found in self.of.items():
+            node = self.trie
+            for c in name:
+                node = node.setdefault(c, {})
+            node[""] = found
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory of chunks anew: place by chunk, then ids, score and gap by place."""
+        self.place: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.scores, self.gaps = np.zeros(1024), np.zeros(1024)
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
+    def learn(self, chunks: set[str]) -> None:
+        """Search the chunks that aren't remembered."""
+        for chunk in [c for c in chunks if c not in self.place]:
+            k = self.place[chunk] = len(self.ids)
+            if k == len(self.scores):
+                self.scores, self.gaps = np.resize(self.scores, 2 * k), np.resize(self.gaps, 2 * k)
+            self.scores[k], self.gaps[k], ids = self._best(chunk)
+            self.ids.append(ids)
+
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the (start, score, ids) of the pieces that end there. "\\0" stands for a mark of the text itself."""
         n, of, into = len(chunk), self.of, [[] for _ in range(len(chunk) + 1)]
@@ -81,34 +103,26 @@ class Pieces:
                 into[i + 1].append((i, len(ids) * self.byte_score, ids))
         return into
 
-    def best(self, chunk: str) -> tuple[float, float, bytes]:
-        """Best score, gap to the next path (inf if there is none), and the best path's ids as little-endian words."""
-        found = self.known.get(chunk)
-        if found is None:
-            if len(self.known) > MEMO:
-                self.known.clear()
-                self.lists.clear()
-            found = self.known[chunk] = self._best(chunk)
-        return found
-
     def _best(self, chunk: str) -> tuple[float, float, bytes]:
-        n, of, longest, low = len(chunk), self.of, self.longest, -1e300
+        """Best score, gap to the next path (inf if there is none), and the best path's ids as little-endian words."""
+        n, root, low = len(chunk), self.trie, -1e300
         first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         first[0] = 0.0
         for i in range(n):
-            a, b, single = first[i], second[i], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                e = of.get(chunk[i:j])
-                if e is None:
-                    continue
-                single |= j == i + 1
-                s = a + e[0]
-                if s > first[j]:
-                    second[j] = max(first[j], b + e[0])
-                    first[j], back[j] = s, (i, e[1])
-                elif s > second[j]:
-                    second[j] = s
-            if not single:
+            a, b, node = first[i], second[i], root
+            for j in range(i, n):
+                node = node.get(chunk[j])
+                if node is None:
+                    break
+                if "" in node:
+                    score, k = node[""]
+                    s, j1 = a + score, j + 1
+                    if s > first[j1]:
+                        second[j1] = max(first[j1], b + score)
+                        first[j1], back[j1] = s, (i, k)
+                    elif s > second[j1]:
+                        second[j1] = s
+            if chunk[i] not in self.of:
                 ids = tuple(self.bytes[x] for x in (MARK if chunk[i] == OWN else chunk[i]).encode("utf-8", "surrogatepass"))
                 s = a + len(ids) * self.byte_score
                 if s > first[i + 1]:
@@ -119,10 +133,9 @@ class Pieces:
         path, j = [], n
         while j:
             j, ids = back[j]
-            path.append(ids if isinstance(ids, tuple) else (ids,))
-        flat = [x for ids in reversed(path) for x in ids]
-        gap = first[n] - second[n] if second[n] > -1e200 else float("inf")
-        return first[n], gap, np.array(flat, "<u4").tobytes()
+            path.append(ids)
+        flat = [x for ids in reversed(path) for x in (ids if isinstance(ids, tuple) else (ids,))]
+        return first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), struct.pack(f"<{len(flat)}I", *flat)
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk by A* from its end, with the forward scores as heuristic."""
@@ -140,6 +153,8 @@ class Pieces:
                 continue
             for i, s, ids in into[j]:
                 heapq.heappush(queue, (-(forward[i] + s + behind), ids + path, i, behind + s))
+        if len(self.lists) > MEMO // 8:
+            self.lists.clear()
         self.lists[chunk, n] = out
         return out
 
@@ -150,32 +165,41 @@ class Pieces:
         text = MARK + text.replace(" ", MARK)
         return _CHUNK.findall(text) if self.chained else [text]
 
-    def encode(self, text: str, n: int = 1) -> list[tuple[float, bytes]]:
-        """The n best (score, ids as little-endian words) of a text, best first; fewer if the lattice has fewer paths."""
-        if not text:
-            return [(0.0, b"")]
-        chunks = self.chunks(text)
-        best = self.best
-        parts = [best(c) for c in chunks]
-        total = sum(p[0] for p in parts)
-        out = [(total, b"".join([p[2] for p in parts]))]
-        if n < 2:
+    def encode(self, texts: list[str], n: int = 1) -> list[list[tuple[float, bytes]]]:
+        """For each text the n best (score, ids as little-endian words), best first; fewer if its lattice has fewer paths."""
+        cut = [self.chunks(t) if t else [] for t in texts]
+        if len(self.place) > MEMO:
+            self.forget()
+        self.learn(set().union(*cut))
+        return [self._chain(c, n) for c in cut]
+
+    def _chain(self, chunks: list[str], n: int) -> list[tuple[float, bytes]]:
+        at = list(map(self.place.__getitem__, chunks))
+        parts = list(map(self.ids.__getitem__, at))
+        total = float(self.scores[at].sum()) if at else 0.0
+        out = [(total, b"".join(parts))]
+        if n < 2 or not at:
             return out
-        near = heapq.nsmallest(n - 1, [(p[1], k) for k, p in enumerate(parts) if p[1] < 1e200])
-        spots = [k for _, k in near]
-        # Sums of losses against the best, merged chunk by chunk; a choice lists which path is taken at each spot.
+        gaps = self.gaps[at]
+        spots = np.sort(np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps)))
+        spots = [k for k in spots.tolist() if gaps[k] < 1e200]
+        # Losses against the best, merged chunk by chunk; a choice lists which path is taken at each spot.
         merged: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for k in spots:
-            losses = [parts[k][0] - s for s, _ in self.n_best(chunks[k], n)]
-            merged = heapq.nsmallest(n, [(a + max(0.0, b), (*c, m)) for a, c in merged for m, b in enumerate(losses)])
+            losses = [max(0.0, self.scores[at[k]] - s) for s, _ in self.n_best(chunks[k], n)]
+            merged = heapq.nsmallest(n, [(a + b, (*c, m)) for a, c in merged for m, b in enumerate(losses)])
         for loss, choice in merged[1:]:
-            swap = {k: np.array(self.n_best(chunks[k], n)[m][1], "<u4").tobytes() for k, m in zip(spots, choice, strict=True) if m}
-            out.append((total - loss, b"".join([swap.get(k, p[2]) for k, p in enumerate(parts)])))
+            swapped = parts.copy()
+            for k, m in zip(spots, choice, strict=True):
+                if m:
+                    ids = self.n_best(chunks[k], n)[m][1]
+                    swapped[k] = struct.pack(f"<{len(ids)}I", *ids)
+            out.append((total - float(loss), b"".join(swapped)))
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text of a segmentation, without the dummy space."""
-        raw = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        raw = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I")))
         return raw[1:].decode("utf-8", "surrogatepass")
 
 
@@ -196,7 +220,7 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
     def run(batches):
         model = pieces_for(model_path)
         for batch in batches:
-            found = [model.encode(t or "", n) for t in batch.column("text").to_pylist()]
+            found = model.encode([t or "" for t in batch.column("text").to_pylist()], n)
             yield packed({
                 "doc_id": batch.column("doc_id"),
                 "segmentations": [[{"score": s, "ids": np.frombuffer(b, "<i4")} for s, b in x] for x in found],
@@ -207,14 +231,14 @@ def segment(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, best and next scores, how many segmentations there are (up to n), and whether all decode to the text."""
+    """doc_id, n_pieces, ids_crc32, best and next scores, how many segmentations there are (up to n), and whether the best decodes to the text."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("next_score", pa.float64()), ("n_best", pa.int32()), ("round_trip", pa.bool_())])
 
     def run(batches):
         model = pieces_for(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [model.encode(t, n) for t in texts]
+            found = model.encode(texts, n)
             yield packed({
                 "doc_id": batch.column("doc_id"),
                 "n_pieces": [len(x[0][1]) // 4 for x in found],
@@ -222,7 +246,7 @@ def digests(docs: DataFrame, model_path: str, n: int = 3) -> DataFrame:
                 "score": [round(x[0][0], 6) for x in found],
                 "next_score": [round(x[1][0], 6) if len(x) > 1 else None for x in found],
                 "n_best": [len(x) for x in found],
-                "round_trip": [all(model.decode(b) == t for _, b in x) for x, t in zip(found, texts, strict=True)],
+                "round_trip": [model.decode(x[0][1]) == t for x, t in zip(found, texts, strict=True)],
             }, schema)
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_pieces long, ids_crc32 long, score double, next_score double, n_best int, round_trip boolean")

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import langid, quality, toxicity
-from logweave.llm.common import table
+from logweave.llm import decontaminate, langid, pieces, quality, token_file, toxicity
+from logweave.llm.common import table, tokenizer_path
+
+
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +22,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op7_toxicity, op9_quality)}
+    found = (op2_token_file, op5_language_id, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontaminate.ORACLE}

@@ -59,7 +59,7 @@ class Encoder:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.memo:
             self.known.clear()
-        new = list(set().union(*chunks) - self.known.keys())
+        new = [c for c in set().union(*chunks) if c not in self.known]
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
