@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, langid, pieces, quality, token_file, toxicity
+from logweave.llm import decontaminate, langid, neardup, pieces, quality, token_file, topk, toxicity
 from logweave.llm.common import table, tokenizer_path
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -35,9 +44,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_token_file, op5_language_id, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
+    found = (op1_near_duplicates, op2_token_file, op4_exact_topk, op5_language_id, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE}
+    return {"op1_near_duplicates": neardup.ORACLE, "op4_exact_topk": topk.ORACLE, "op8_decontamination": decontaminate.ORACLE}
