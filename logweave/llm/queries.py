@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, langid, neardup, pieces, quality, token_file, topk, toxicity
+from logweave.llm import decontaminate, langid, neardup, pieces, quality, repeats, token_file, topk, toxicity
 from logweave.llm.common import table, tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"), 400)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_duplicates, op2_token_file, op4_exact_topk, op5_language_id, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
+    found = (op1_near_duplicates, op2_token_file, op4_exact_topk, op5_language_id, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
     return {f.__name__: f for f in found}
 
 
