@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, langid, neardup, pieces, quality, repeats, token_file, topk, toxicity
+from logweave.llm import decontaminate, langid, neardup, pages, pieces, quality, repeats, token_file, topk, toxicity
 from logweave.llm.common import table, tokenizer_path
 
 
@@ -19,6 +19,10 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -48,7 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_duplicates, op2_token_file, op4_exact_topk, op5_language_id, op6_suffix_dedup, op7_toxicity, op8_decontamination, op9_quality, op10_sentencepiece)
+    found = (
+        op1_near_duplicates,
+        op2_token_file,
+        op3_page_text,
+        op4_exact_topk,
+        op5_language_id,
+        op6_suffix_dedup,
+        op7_toxicity,
+        op8_decontamination,
+        op9_quality,
+        op10_sentencepiece,
+    )
     return {f.__name__: f for f in found}
 
 
