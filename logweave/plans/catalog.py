@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.plans import ordering_queries
+from logweave.plans import frontier_queries, ordering_queries
 
-_ALL = {**ordering_queries.QUERIES}
+_ALL = {**ordering_queries.QUERIES, **frontier_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

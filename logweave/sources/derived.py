@@ -67,7 +67,7 @@ faulty as (select * from kept union all
 def replica_done(spark: SparkSession, sf_dir: str, replicas: int = 2) -> DataFrame:
     """(broker_id, replica, last_offset): how far each replica has the broker's messages; the last replica of broker 3 hasn't started."""
     written = batches(spark, sf_dir).groupBy("broker_id").agg(F.sum("num_msg").alias("n"))
-    rows = written.select("broker_id", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).cast("long").alias("replica"), "n")
+    rows = written.select("broker_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicas - 1).cast("long"))).alias("replica"), "n")
     behind = (F.col("broker_id") * 7 + F.col("replica") * 13) % 50
     started = ~((F.col("broker_id") == 3) & (F.col("replica") == replicas - 1))
     return rows.select("broker_id", "replica", F.when(started, F.col("n") - 1 - behind).alias("last_offset"))
