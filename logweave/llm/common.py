@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,21 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.environ.get("LOGWEAVE_SHARED_DIR", "/tmp/checkpoints")
 
 
-def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table from materialize() once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return Scratch(df.sparkSession).save(df, name)
+
+
+class Scratch:
+    """Tables that one operator writes into the shared folder on its way, removed together once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def finish(self, result: DataFrame, name: str) -> DataFrame:
+        """Write the result, remove the tables before it, and let Spark's cleaner find the shuffle files they came from."""
+        done = materialize(result, name)
+        jvm = self.spark.sparkContext._jvm
+        for text in self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(text)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
+        self.release()
+        return done
+
+    def release(self) -> None:
+        """Collect garbage on the driver: shuffle files of plans that nothing refers to go with it."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import arrow_map, broadcast_if_small, byte_lists, materialize, mix64, packed, utf8
+from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, materialize, mix64, packed, utf8
 
 GRAM = 32
 #: Windows of a piece of a long document, and offsets of a slice.
@@ -275,39 +275,39 @@ def _sorted_apart(slices: DataFrame, length: int) -> DataFrame:
     return arrow_map(slices.select(*_SLICE.names).repartition("key").sortWithinPartitions("key"), run, _SPAN_SQL)
 
 
-def _counted_apart(slices: DataFrame, length: int) -> DataFrame:
+def _counted_apart(slices: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Repeated windows among slices of frequent keys, without a group in one task: narrow slices, then single windows,
     are counted by their content with partial sums."""
-    narrow = materialize(_narrowed(slices, length, 8), "narrow")
-    classes = materialize(narrow.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p", "own", "bytes")).alias("u")), "narrow-classes")
+    narrow = scratch.save(_narrowed(slices, length, 8), "narrow")
+    classes = scratch.save(narrow.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p", "own", "bytes")).alias("u")), "narrow-classes")
     whole = narrow.where("own").join(classes.where("n > 1").select("key", "c"), ["key", "c"], "left_semi").select(*_SPAN.names)
     mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("key")
     left = classes.join(mixed, "key", "left_semi").select("key", "c", "u.id", "u.r1", "u.s0", "u.s1", "u.p", (F.col("u.own") & (F.col("n") == 1)).alias("own"), "u.bytes")
-    single = materialize(_narrowed(left, length, 1).drop("bytes"), "windows")
+    single = scratch.save(_narrowed(left, length, 1).drop("bytes"), "windows")
     again = single.groupBy("key", "c").agg(F.count("*").alias("n")).where("n > 1").select("key", "c")
     return whole.union(single.where("own").join(again, ["key", "c"], "left_semi").select(*_SPAN.names))
 
 
 def find(docs: DataFrame, length: int = 400, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
     """(id, r1, s0, s1): runs of windows that are repeated; id is doc_id (the least long for null), r1 the text's hash."""
-    rows, gram = _keyed(docs), min(gram, max(1, length // 2))
-    runs = materialize(_runs(rows, length, gram), "runs")
+    rows, gram, scratch = _keyed(docs), min(gram, max(1, length // 2)), Scratch(docs.sparkSession)
+    runs = scratch.save(_runs(rows, length, gram), "runs")
     live = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    runs = materialize(runs.join(live, "g"), "live-runs")
+    runs = scratch.save(runs.join(live, "g"), "live-runs")
     classes = runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p")).alias("u"))
-    classes = materialize(classes, "classes")
+    classes = scratch.save(classes, "classes")
     whole = runs.join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select(*_SPAN.names)
     mixed = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("g")
     listed = classes.join(mixed, "g", "left_semi").select("u.id", "u.r1", F.struct("u.s0", "u.s1", "u.p", "n").alias("x"))
-    listed = materialize(listed.groupBy("id", "r1").agg(F.collect_list("x").alias("units")), "units")
-    slices = materialize(_slices(rows.join(broadcast_if_small(listed, 200_000), ["id", "r1"]), length, min(SLICE, max(1, length // 4))), "slices")
+    listed = scratch.save(listed.groupBy("id", "r1").agg(F.collect_list("x").alias("units")), "units")
+    slices = scratch.save(_slices(rows.join(broadcast_if_small(listed, 200_000), ["id", "r1"]), length, min(SLICE, max(1, length // 4))), "slices")
     sizes = slices.groupBy("key").agg(F.count("*").alias("k"))
     met = slices.join(sizes.where(f"k between 2 and {frequent}").select("key"), "key", "left_semi")
     found = _sorted_apart(met, length)
-    often = materialize(sizes.where(f"k > {frequent}").select("key"), "frequent")
+    often = scratch.save(sizes.where(f"k > {frequent}").select("key"), "frequent")
     if not often.isEmpty():
-        found = found.union(_counted_apart(slices.join(broadcast_if_small(often, 100_000), "key", "left_semi"), length))
-    return whole.union(found)
+        found = found.union(_counted_apart(slices.join(broadcast_if_small(often, 100_000), "key", "left_semi"), length, scratch))
+    return scratch.finish(whole.union(found), "spans")
 
 
 def _keyed(docs: DataFrame, *keep: str) -> DataFrame:

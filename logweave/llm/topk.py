@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import arrow_map, materialize, packed
+from logweave.llm.common import Scratch, arrow_map, packed
 
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 512
@@ -129,13 +129,14 @@ def best_in_block(qi, q, ci, c, bound, basis, k):
 def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k greatest inner products, ties to the smaller id."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     kept = quantized(vectors, scale)
     common = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dim = common[0].d if common else 1
     rows = kept.where(F.size("v") == dim).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e))
     basis = spark.sparkContext.broadcast(rotation(rows, dim))  # dim x dim
-    candidates = materialize(_pack(rows, CANDIDATES, True), "topk-candidates")
-    queries = materialize(_pack(rows.where(is_query), QUERIES, False), "topk-queries")
+    candidates = scratch.save(_pack(rows, CANDIDATES, True), "topk-candidates")
+    queries = scratch.save(_pack(rows.where(is_query), QUERIES, False), "topk-queries")
     hit = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(bounded: bool):
@@ -161,7 +162,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -
     named = queries.select(F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     # Round 1: the longest candidates' blocks, as many as hold k others than the query itself.
     seeds = candidates.orderBy(F.desc("longest"), "block").limit(2)
-    first = materialize(arrow_map(named.repartition("qblock").crossJoin(F.broadcast(seeds)), meet(False), "query_id long, vec_id long, score long"), "topk-seeds")
+    first = scratch.save(arrow_map(named.repartition("qblock").crossJoin(F.broadcast(seeds)), meet(False), "query_id long, vec_id long, score long"), "topk-seeds")
     lowest = best(first).select("query_id", F.when(F.size("best") >= k, -F.element_at("best", -1)["s"]).alias("bound"))
 
     def with_bounds(it):
@@ -181,12 +182,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -
     members = arrow_map(named.select("qblock", "qids"), member, "qblock long, query_id long").distinct()
     by_block = members.join(lowest.where("bound is not null"), "query_id").groupBy("qblock").agg(F.collect_list("query_id").alias("known_ids"), F.collect_list(F.col("bound").cast("double")).alias("known_bounds"))
     none_i, none_d = F.array().cast("array<long>"), F.array().cast("array<double>")
-    bounded = materialize(arrow_map(named.join(by_block, "qblock", "left").withColumn("known_ids", F.coalesce("known_ids", none_i)).withColumn("known_bounds", F.coalesce("known_bounds", none_d)), with_bounds, "qblock long, qids binary, qdata binary, bounds binary"), "topk-bounds")
+    bounded = scratch.save(arrow_map(named.join(by_block, "qblock", "left").withColumn("known_ids", F.coalesce("known_ids", none_i)).withColumn("known_bounds", F.coalesce("known_bounds", none_d)), with_bounds, "qblock long, qids binary, qdata binary, bounds binary"), "topk-bounds")
     # Round 2: the stated query blocks against every candidate block.
     pairs = bounded.repartition("qblock").crossJoin(candidates.select("ids", "data", "longest"))
     found = arrow_map(pairs.repartition(F.col("qblock"), F.xxhash64("ids")).sortWithinPartitions("qblock"), meet(True), "query_id long, vec_id long, score long")
     ranked = best(found).select("query_id", F.posexplode("best").alias("rank", "b"))
-    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    result = ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    return scratch.finish(result, "topk")
 
 
 #: DuckDB SQL for search() with 20 neighbours of the ids divisible by 20, at a scale of 64.
