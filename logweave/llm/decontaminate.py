@@ -125,10 +125,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: l
     keep = keep or ["doc_id"]
     spark = docs.sparkSession
     own = [f for f in docs.schema if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), "__bytes binary, __n long, __spans array<long>, __items array<long>"])
+    schema = ", ".join([*(f"`keep_{f.name}` {f.dataType.simpleString()}" for f in own), "__bytes binary, __n long, __spans array<long>, __items array<long>"])
     extra = pa.schema([("__bytes", pa.binary()), ("__n", pa.int64()), ("__spans", pa.list_(pa.int64())), ("__items", pa.list_(pa.int64()))])
     empty = F.array().cast("array<long>")
-    out = docs.select(*(F.col(f"`{f.name}`") for f in own), utf8().alias("__bytes"), F.lit(0).cast("long").alias("__n"), empty.alias("__spans"), empty.alias("__items"))
+    out = docs.select(*(F.col(f"`{f.name}`").alias(f"keep_{f.name}") for f in own), utf8().alias("__bytes"), F.lit(0).cast("long").alias("__n"), empty.alias("__spans"), empty.alias("__items"))
     found = indexes(docs, benchmark, size, index_bytes)
     for k, index in enumerate(found):
         shared = spark.sparkContext.broadcast(index)  # of at most index_bytes of item text
@@ -145,11 +145,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: l
                     if len(window):
                         items[j] = sorted({*items[j], *(i for w in np.unique(window) for i in index.items[w])})
                         spans[j] = merged(spans[j], start, start + index.lengths[window])
-                columns = [batch.column(f.name) for f in own] + [pa.array([None] * len(texts) if last else texts, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, extra.field(2).type), pa.array(items, extra.field(3).type)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in own), *extra.names])
+                columns = [batch.column(f"keep_{f.name}") for f in own] + [pa.array([None] * len(texts) if last else texts, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, extra.field(2).type), pa.array(items, extra.field(3).type)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f"keep_{f.name}" for f in own), *extra.names])
 
         out = arrow_map(out, run, schema)
-    return out.withColumnsRenamed({"__n": "n_words", "__spans": "spans", "__items": "items"}).drop("__bytes")
+    return out.select(*(F.col(f"`keep_{f.name}`").alias(f.name) for f in own), F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def merged(flat: list[int], starts: np.ndarray, ends: np.ndarray) -> list[int]:
@@ -173,7 +173,9 @@ def digests(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    return contamination(docs, benchmark, size, docs.columns).where(F.size("spans") == 0).select(*docs.columns)
+    names = [f"_{k}" for k in range(len(docs.columns))]  # free of clashes with the findings' names
+    clean = contamination(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), "text"), benchmark, size, names)
+    return clean.where(F.size("spans") == 0).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 #: DuckDB SQL for digests() at size 10: every window of every item against every run of as many document words.

@@ -163,12 +163,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     Rows are scored in place, so repeated ids and null ids keep their own decision.
     """
     model = fit_from(docs, labels, threshold)
-    names = docs.columns
+    names = [f"keep_{c}" for c in docs.columns]  # so that no column clashes with the bytes
 
     def run(batches):
         for batch in batches:
-            x = np.array([features(t) for t in byte_lists(batch, "__bytes")]).reshape(-1, FEATURES)
-            yield batch.drop_columns(["__bytes"]).filter(pa.array(model.scores(x) >= threshold))
+            x = np.array([features(t) for t in byte_lists(batch)]).reshape(-1, FEATURES)
+            yield batch.select(names).filter(pa.array(model.scores(x) >= threshold))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs.withColumn("__bytes", utf8()), run, schema).select(*names)
+    schema = ", ".join(f"`keep_{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kept = docs.select(utf8().alias("text"), *(F.col(f"`{c}`").alias(f"keep_{c}") for c in docs.columns))
+    return arrow_map(kept, run, schema).select(*(F.col(f"`keep_{c}`").alias(c) for c in docs.columns))
