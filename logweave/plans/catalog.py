@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.plans import frontier_queries, ordering_queries, trace_queries
+from logweave.plans import delivery_queries, frontier_queries, ordering_queries, trace_queries
 
-_ALL = {**ordering_queries.QUERIES, **frontier_queries.QUERIES, **trace_queries.QUERIES}
+_ALL = {**ordering_queries.QUERIES, **frontier_queries.QUERIES, **trace_queries.QUERIES, **delivery_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
