@@ -7,6 +7,7 @@ empty bag and get the score of the intercept. Repeated rows and ties are scored
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,17 @@ from logweave.llm.common import arrow_map, bounded_sample, byte_lists, crc_mod,
 
 ORDERS, BITS, WIDTH = (3, 4, 5), 18, 8
 #: Upper bound of the labelled rows that a fit gathers; the smallest hashes of the ids are taken.
-MAX_FIT_ROWS = 4000
+MAX_FIT_ROWS = 8000
+
+
+_MAP = ngrams.letters_table(True)
+_AGAIN = re.compile(rb"( [^ ]++) *(?=\1 )")
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mapped texts in one buffer; of a word's repetitions in a row one stays, so that junk can't fill a bag with it."""
+    table = _MAP.tobytes()
+    return ngrams.joined([_AGAIN.sub(b"", b" " + t.translate(table) + b" ")[1:-1] for t in texts], _MAP)
 
 
 @dataclass
@@ -39,7 +50,7 @@ class ToxicityModel:
 
 
 def _scores(texts: list[bytes], margins: np.ndarray, bias: float) -> np.ndarray:
-    buf, starts, ends = ngrams.joined(texts, ngrams.letters_table(True))
+    buf, starts, ends = _joined(texts)
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
     for n in ORDERS:
         inside = ngrams.inside_words(buf, n)
@@ -50,13 +61,13 @@ def _scores(texts: list[bytes], margins: np.ndarray, bias: float) -> np.ndarray:
 
 
 def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    buf, _, _ = ngrams.joined([text], ngrams.letters_table(True))
+    buf, _, _ = _joined([text])
     ids = np.concatenate([ngrams.gram_ids(buf, n, BITS)[ngrams.inside_words(buf, n)] for n in ORDERS])
     ids, counts = np.unique(ids, return_counts=True)
     return ids, (counts / max(1, counts.sum())).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 8, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> ToxicityModel:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> ToxicityModel:
     """Adagrad on the cross-entropy of single texts; embeddings and softmax move together. One class only: a constant."""
     rng = np.random.default_rng(seed)
     bags = [_bag(t) for t in texts]
