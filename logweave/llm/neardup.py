@@ -6,9 +6,11 @@ inverted list of retained values generates overlaps: two sets that reach the thr
 retained values but for a chance below 1e-9, so it is enough to list a sketch's first |sketch| - t + 1 values in one
 common order (frequent values last, then by hash). Within a list only pairs of a pivot and a member are generated.
 The sketch of the union of both estimates a pair and drops hopeless ones; what is left is verified on full sets,
-recomputed from the texts. Components come from alternating large and small stars. Lists whose members aren't yet in
-one component go on with other pivots, and at last with all their pairs between components, so no link is lost and
-members that are already together cost nothing.
+recomputed from the texts. Components come from alternating large and small stars. The first pivot of a list is the
+member whose values are the most frequent, the middle of its group. Lists whose members aren't yet in one component go
+on with another pivot, and at last with all their pairs between components, so no link is lost and members that are
+already together cost nothing; in crowded lists a pair also goes if the shingles that its members share with no other
+member leave too few for the threshold.
 
 Words are lower-cased (A-Z) runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A row with a null id isn't
@@ -25,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import arrow_map, broadcast_if_small, byte_lists, materialize, mix64, packed, utf8
+from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, mix64, packed, utf8
 
 K = 64
-#: A value in more sketches than this is frequent; at most so many of the most frequent are put last. Any order is exact.
-FREQUENT, MOST_FREQUENT = 256, 200_000
+#: A value in more sketches than this stands by its count, for at most so many of the most frequent values (24 bytes each
+#: on the driver and in a task); the others come first, by hash. Any order is exact.
+FREQUENT, MOST_FREQUENT = 8, 500_000
+#: In lists of more members than this the shingles that a member has for itself bound its overlaps.
+CROWDED = 24
 #: Rounds with one pivot a list before all pairs between components are taken.
 PIVOT_ROUNDS = 2
 _MEMO = 500_000
@@ -94,25 +99,48 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")), run, "doc_id long, n_shingles long, fp binary, sketch binary")
 
 
-def _exploded(nodes: DataFrame, k: int, percent: int, last: np.ndarray | None) -> DataFrame:
-    """(v, node, n): all retained values, or with `last` the ones to list when those values come last."""
-    schema = pa.schema([("v", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-    shared = None if last is None else nodes.sparkSession.sparkContext.broadcast(last)  # at most MOST_FREQUENT words
+def _exploded(nodes: DataFrame, k: int, percent: int, often: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(v, node, n, common): all retained values, or with `often` (ascending values, counts) the ones to list when values
+    stand by their counts. common says how frequent a sketch's values are on the whole: the middle of a group has most."""
+    schema = pa.schema([("v", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("common", pa.int64())])
+    shared = None if often is None else nodes.sparkSession.sparkContext.broadcast(often)  # at most MOST_FREQUENT rows
 
     def run(batches):
         for batch in batches:
-            out, ids, sizes = [], batch.column("node").to_pylist(), batch.column("n").to_pylist()
+            out, common, ids, sizes = [], [], batch.column("node").to_pylist(), batch.column("n").to_pylist()
             for raw, n in zip(batch.column("sketch").to_pylist(), sizes, strict=True):
-                v = np.frombuffer(raw, np.uint64)
+                v, score = np.frombuffer(raw, np.uint64), 0
+                if shared is not None and len(shared.value[0]):
+                    values, counts = shared.value
+                    at = np.minimum(np.searchsorted(values, v), len(values) - 1)
+                    c = np.where(values[at] == v, counts[at], 0)
+                    score = int(1000 * np.log2(1 + c).mean())
+                    v = v[np.lexsort((v, c))]
                 if shared is not None:
-                    late = np.isin(v, shared.value)
-                    v = np.concatenate([v[~late], v[late]])[: prefix_length(n, k, percent)]
+                    v = v[: prefix_length(n, k, percent)]
                 out.append(v.view(np.int64))
+                common.append(score)
             many = [len(v) for v in out]
             if sum(many):
-                yield packed({"v": np.concatenate(out), "node": np.repeat(np.array(ids, np.int64), many), "n": np.repeat(np.array(sizes, np.int64), many)}, schema)
+                yield packed({"v": np.concatenate(out), "node": np.repeat(np.array(ids, np.int64), many), "n": np.repeat(np.array(sizes, np.int64), many), "common": np.repeat(np.array(common, np.int64), many)}, schema)
 
-    return arrow_map(nodes.select("node", "n", "sketch"), run, "v long, node long, n long")
+    return arrow_map(nodes.select("node", "n", "sketch"), run, "v long, node long, n long, common long")
+
+
+def _own_shingles(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, own): how many of a member's shingles no other member of the given lists has. They are in no overlap."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text")).join(broadcast_if_small(members, 1_000_000), "node", "left_semi")
+    schema = pa.schema([("node", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size).view(np.int64) for t in byte_lists(batch)]
+            many = [len(x) for x in sets]
+            if sum(many):
+                yield packed({"node": np.repeat(np.array(batch.column("node").to_pylist(), np.int64), many), "v": np.concatenate(sets)}, schema)
+
+    held = arrow_map(texts, run, "node long, v long").groupBy("v").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -162,13 +190,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every linked node: root is the smallest node reachable. Alternating large and small stars."""
 
     def state(df):
         return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -178,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.where("u <> v").distinct(), "edges")
+        edges = scratch.save(small.where("u <> v").distinct(), "edges")
         after = state(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -187,49 +216,63 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    texts = docs.select("doc_id", "text")
-    sketched = materialize(sketches(texts, size, k), "sketches")
+    texts, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession)
+    sketched = scratch.save(sketches(texts, size, k), "sketches")
     classes = sketched.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
+    classes = scratch.save(classes, "classes")
     nodes = classes.select("node", "n", "sketch")
     counted = _exploded(nodes, k, percent, None).groupBy("v").count().where(F.col("count") > FREQUENT)
-    frequent = counted.orderBy(F.desc("count"), "v").limit(MOST_FREQUENT).select("v").toPandas()["v"].to_numpy(np.int64).view(np.uint64)
-    listed = _exploded(nodes, k, percent, frequent)
+    top = counted.orderBy(F.desc("count"), "v").limit(MOST_FREQUENT).toPandas()
+    values, counts = top["v"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(values)
+    listed = _exploded(nodes, k, percent, (values[order], counts[order]))
     shared = listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    lists = materialize(listed.join(shared, "v"), "lists")
+    lists = scratch.save(listed.join(shared, "v"), "lists")
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))  # of the overlap
     links = None
     tried = None
     root = None
     for turn in range(PIVOT_ROUNDS + 1):
-        member = lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"))
+        member = lists.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), "common")
         if root is not None:
             member = member.join(root.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-            open_ = member.groupBy("v").agg(F.min("root").alias("_l"), F.max("root").alias("_h")).where("_l <> _h").select("v")
-            member = materialize(member.join(open_, "v"), "open")
+            open_ = member.groupBy("v").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("v", "size")
+            member = scratch.save(member.join(open_, "v"), "open")
         else:
-            member = member.withColumn("root", F.col("b"))
+            member = member.withColumns({"root": F.col("b"), "size": F.lit(0).cast("long")})
         if turn < PIVOT_ROUNDS:
-            order = F.struct(F.xxhash64("b", F.lit(turn)).alias("o"), F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
+            lead = F.lit(0) if turn else -F.col("common")
+            order = F.struct(lead.alias("l"), F.xxhash64("b", F.lit(turn)).alias("o"), F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
             other = member.groupBy("v").agg(F.min(order).alias("p")).select("v", "p.a", "p.na", "p.ra")
+            pairs = member.join(other, "v").where(near & (F.col("ra") != F.col("root"))).select("a", "b").distinct()
         else:
-            other = member.select("v", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
-        apart = (F.col("ra") != F.col("root")) & ((F.col("a") < F.col("b")) if turn == PIVOT_ROUNDS else F.lit(True))
-        pairs = member.join(other, "v").where(near & apart).select("a", "b").distinct()
+            crowd = scratch.save(member.where(F.col("size") > CROWDED).select(F.col("b").alias("node")).distinct(), "crowd")
+            twice = classes.groupBy("node").agg(F.count("*").alias("_t")).where("_t > 1").select("node")  # ids with several texts
+            own = scratch.save(_own_shingles(crowd, texts, size).join(twice, "node", "left_anti"), "own")
+            bounded = member.join(own.select(F.col("node").alias("b"), "own"), "b", "left").withColumn("ob", F.when(F.col("size") > CROWDED, F.coalesce("own", F.lit(0))).otherwise(0))
+            # A member whose own shingles alone keep it from the threshold has no partner, however small that is.
+            bounded = scratch.save(bounded.where((F.col("nb") - F.col("ob")) * 100 >= F.col("nb") * percent).select("v", "b", "nb", "ob", "root"), "bounded")
+            other = bounded.select("v", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ob").alias("oa"), F.col("root").alias("ra"))
+            apart = (F.col("ra") != F.col("root")) & (F.col("a") < F.col("b"))
+            reach = most * 100 >= (F.col("na") + F.col("nb") - most) * percent
+            pairs = bounded.join(other, "v").where(near & apart & reach).select("a", "b").distinct()
         if tried is not None:
             swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tried.union(swapped), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+        pairs = scratch.save(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        likely = materialize(_estimated(pairs, nodes, k, percent), "likely")
-        found = materialize(_verified(likely, texts, size, percent), "links")
+        likely = scratch.save(_estimated(pairs, nodes, k, percent), "likely")
+        found = scratch.save(_verified(likely, texts, size, percent), "links")
         links = found if links is None else links.union(found)
+        scratch.release()
         if turn == 0 or not found.isEmpty():
-            root = components(links)
+            root = components(links, scratch)
     named = classes.select("fp", "node").join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     rows = sketched.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    result = rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return scratch.finish(result, "near-duplicates")
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
