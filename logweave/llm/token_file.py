@@ -8,7 +8,10 @@ tokens are the end id alone. Extra columns are ignored. An empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
 import uuid
 import zlib
 
@@ -24,7 +27,7 @@ from logweave.llm.common import arrow_map, broadcast_if_small, packed, shared_di
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 #: Chunks that a worker remembers with their ids before it starts anew; bounds its memory.
-MEMO = 400_000
+MEMO = 800_000
 
 
 def writer_options(row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 512) -> dict[str, str]:
@@ -40,11 +43,19 @@ def writer_options(row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
     }
 
 
+#: The pre-tokens of lower-cased Latin-1 text: elisions, runs of letters, single digits, runs of other marks.
+_LETTERS, _NUMBERS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
 class Encoder:
-    """Ids of whole texts from the tokenizers library, put together from chunks between spaces and line feeds.
+    """Ids of whole texts from the tokenizers library, put together from the ids of their parts, which are remembered
+    as little-endian words.
 
-    The vocabulary's normaliser turns white space to a space that its pre-tokenizer drops, and neither looks across
-    it, so a text's ids are those of its chunks in order. A chunk's ids are remembered as little-endian words.
+    A word vocabulary turns white space to a space that its pre-tokenizer drops, and nothing looks across it, so the ids
+    of a text are those of its chunks between spaces and line feeds, in order. Latin-1 text needs no normalisation but
+    lower case, and its pre-tokens are found by one pattern, so it is cut into those; the library encodes either. Text
+    with the start of a special token is cut into chunks only.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -52,20 +63,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        pattern = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
+        #: Whether the vocabulary is of the kind that is cut into pre-tokens, or into chunks at least.
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.known: dict[str, bytes] = {}
         self.memo = memo
 
+    def cut(self, text: str) -> list[str]:
+        if not self.by_word:
+            return [text]
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return _LATIN.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        parts = [self.cut(t) for t in texts]
         if len(self.known) > self.memo:
             self.known.clear()
-        new = [c for c in set().union(*chunks) if c not in self.known]
+        new = [c for c in set().union(*parts) if c not in self.known]
         for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
+            some = new[k : k + 10_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) + end for c in chunks]
+        return [b"".join(map(get, c)) + end for c in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
