@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from logweave.operators import delivery, faults, frontier, ordering, state
 from logweave.plans.frontier_queries import _STATE
-from logweave.plans.ordering_queries import LEASE, _FENCES, _FIRST, _GOI, _ORDER5, _PREFIX, _S, _goi
+from logweave.plans.ordering_queries import LEASE, _FENCES, _FIRST, _GOI, _ORDER5, _S, _goi
 from logweave.sources.derived import SQL_BATCHES, batches, events, faulty, kv_log
 
 

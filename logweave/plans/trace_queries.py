@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from logweave.functions import percentiles
 from logweave.operators import faults, ordering, traces
-from logweave.plans.ordering_queries import LEASE, _FENCES, _FIRST, _ORDER5, _PREFIX, _S
+from logweave.plans.ordering_queries import LEASE, _FENCES, _ORDER5, _S
 from logweave.sources.derived import SQL_BATCHES, SQL_FAULTY, batches, faulty
 
 _B = "broker_id"
