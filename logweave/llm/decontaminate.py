@@ -11,8 +11,6 @@ with a null id are left out; repeated items count once. Duplicate documents are
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
