@@ -97,6 +97,10 @@ select client_id, broker_id from (select *, row_number() over (partition by clie
         lambda s, d: ordering.order2(batches(s, d)).select("broker_id", "total_order", "num_msg").orderBy("total_order").limit(200),
         f"with {SQL_BATCHES}, o as (select broker_id, num_msg, (sum(num_msg) over (order by epoch, broker_id, pbr_index rows unbounded preceding) - num_msg)::bigint as total_order from batches) select broker_id, total_order, num_msg from o order by total_order limit 200",
     ),
+    "merged_streams_whole": (
+        lambda s, d: ordering.order2(batches(s, d)).select(F.col("goi").alias("place"), "broker_id", "total_order", "num_msg").orderBy("place"),
+        f"with {SQL_BATCHES} select (row_number() over o - 1)::bigint as place, broker_id, (sum(num_msg) over o - num_msg)::bigint as total_order, num_msg from batches window o as (order by epoch, broker_id, pbr_index rows unbounded preceding)",
+    ),
     "transport_equality": (
         lambda s, d: ordering.order5(batches(s, d)).select("batch_id", "goi").exceptAll(ordering.order5(batches(s, d).repartition(7, "broker_id")).select("batch_id", "goi")).agg(F.count("*").alias("different")),
         "select 0::bigint as different",
