@@ -93,6 +93,10 @@ select client_id, broker_id from (select *, row_number() over (partition by clie
         lambda s, d: batches(s, d).where("client_id = 1").select("batch_id", F.row_number().over(Window.orderBy(F.pmod(F.col("batch_seq") % 16 - 5, F.lit(16)), "batch_seq")).cast("long").alias("place")),
         f"with {SQL_BATCHES} select batch_id, row_number() over (order by (batch_seq % 16 - 5 + 16) % 16, batch_seq) as place from batches where client_id = 1",
     ),
+    "ring_order_whole": (
+        lambda s, d: batches(s, d).select("client_id", "batch_id", F.row_number().over(Window.partitionBy("client_id").orderBy(F.pmod(F.col("batch_seq") % 16 - 5, F.lit(16)), "batch_seq")).cast("long").alias("place")),
+        f"with {SQL_BATCHES} select client_id, batch_id, row_number() over (partition by client_id order by (batch_seq % 16 - 5 + 16) % 16, batch_seq) as place from batches",
+    ),
     "merged_streams": (
         lambda s, d: ordering.order2(batches(s, d)).select("broker_id", "total_order", "num_msg").orderBy("total_order").limit(200),
         f"with {SQL_BATCHES}, o as (select broker_id, num_msg, (sum(num_msg) over (order by epoch, broker_id, pbr_index rows unbounded preceding) - num_msg)::bigint as total_order from batches) select broker_id, total_order, num_msg from o order by total_order limit 200",

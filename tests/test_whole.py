@@ -19,3 +19,11 @@ def test_merge_holds_every_batch_in_order(spark):
         want.append((k, r.broker_id, total, r.num_msg))
         total += r.num_msg
     assert len(rows) > 200 and [tuple(r) for r in got] == want
+
+
+def test_every_client_has_its_ring(spark):
+    got = {(r.client_id, r.batch_id): r.place for r in catalog.queries()["ring_order_whole"](spark, DATA).collect()}
+    rings = {}
+    for r in batches(spark, DATA).collect():
+        rings.setdefault(r.client_id, []).append(((r.batch_seq - 5) % 16, r.batch_seq, r.batch_id))
+    assert len(rings) > 1 and got == {(c, b): k + 1 for c, ring in rings.items() for k, (*_, b) in enumerate(sorted(ring))}
