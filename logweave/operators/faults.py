@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.operators.ordering import SESSION, first_copies
+from logweave.operators.ordering import SESSION, committed_seq, first_copies
 
 
 def _gaps(batches: DataFrame) -> DataFrame:
@@ -64,11 +64,17 @@ def resubmissions(batches: DataFrame, fences: DataFrame) -> DataFrame:
     return left.select(*SESSION, "batch_seq", new.cast("long").alias("new_seq"), (F.col("session_epoch") + 1).alias("new_epoch"))
 
 
-def recovered_sessions(goi: DataFrame, committed: int) -> DataFrame:
+def recovered_sessions(goi: DataFrame, committed: int | Column) -> DataFrame:
     """Sequencer state from the order up to the committed place: next expected seq, messages and next number of each session."""
     return goi.where(F.col("goi") <= committed).groupBy(*SESSION).agg((F.max("batch_seq") + 1).alias("next_expected"), F.sum("num_msg").alias("messages"), F.max(F.col("total_order") + F.col("num_msg")).alias("next_total_order"))
 
 
+def recovered_committed(goi: DataFrame) -> DataFrame:
+    """recovered_sessions up to the committed place that the order itself has."""
+    done = goi.crossJoin(F.broadcast(committed_seq(goi).select("committed_seq")))
+    return recovered_sessions(done, F.col("committed_seq"))
+
+
 def stalled_replicas(goi: DataFrame, replicated: DataFrame, now: int, factor: int, age: int) -> DataFrame:
     """Ordered batches older than `age` with fewer than `factor` replicas and no change in the last `age` ticks."""
     seen = goi.join(replicated, "batch_id", "left").withColumns({"num_replicated": F.coalesce("num_replicated", F.lit(0).cast("long")), "changed": F.coalesce("changed", F.col("release"))})

@@ -18,6 +18,16 @@ def apply(log: DataFrame) -> DataFrame:
     return last.where("w.op <> 'DELETE'").select("key", "w.value", "w.total_order")
 
 
+def apply_in_parts(log: DataFrame, part: Column) -> DataFrame:
+    """What apply() gives, by another path: each part of a delivery keeps its own last write of a key, deletes too, and
+    these are merged. Entries may come more than once and in any part."""
+    last = Window.partitionBy("_part", "key").orderBy(F.desc("total_order"), F.desc("pos"))
+    parts = log.withColumn("_part", part).select("_part", "total_order", "op", F.posexplode("kvs").alias("pos", "kv"))
+    kept = parts.select("_part", "total_order", "op", "pos", "kv.key", "kv.value").withColumn("_k", F.row_number().over(last)).where("_k = 1")
+    merged = kept.groupBy("key").agg(*(F.max_by(c, F.struct("total_order", "pos")).alias(c) for c in ("op", "value", "total_order")))
+    return merged.where("op <> 'DELETE'").select("key", "value", "total_order")
+
+
 def scan(state: DataFrame, starts: DataFrame, count: int, records: int) -> DataFrame:
     """(start, step, key, value): `count` numeric successors of each start, round the key space; absent keys are ''."""
     wanted = starts.select("start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("step"))

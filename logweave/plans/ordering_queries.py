@@ -148,6 +148,10 @@ select {_S}, prev + 1 as skipped_from, batch_seq - prev - 1 as skipped, release
         lambda s, d: faults.recovered_sessions(_goi(s, d), 500),
         f"with {_GOI} select {_S}, max(batch_seq) + 1 as next_expected, sum(num_msg)::bigint as messages, max(total_order + num_msg) as next_total_order from goi where goi <= 500 group by {_S}",
     ),
+    "recovered_sessions_whole": (
+        lambda s, d: faults.recovered_committed(_goi(s, d)),
+        f"with {_GOI}, c as (select max(goi) as committed from (select goi, row_number() over (order by goi) - 1 as k from goi) where goi = k) select {_S}, max(batch_seq) + 1 as next_expected, sum(num_msg)::bigint as messages, max(total_order + num_msg) as next_total_order from goi, c where goi <= committed group by {_S}",
+    ),
     "stalled_replicas": (
         lambda s, d: faults.stalled_replicas(ordering.order5(batches(s, d)), _replicated(s, d), 9000, 2, 5000).select("batch_id", "release", "num_replicated", "changed"),
         f"""with {_ORDER5}, x as (select batch_id, release, case when batch_id % 7 <> 0 then 1 + batch_id % 2 else 0 end as num_replicated, case when batch_id % 7 <> 0 then arrival + batch_id % 300 else release end as changed from order5)
