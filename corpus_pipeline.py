@@ -2,8 +2,8 @@
 
 1. quality: documents whose quality score stays below 0.7 go.
 2. near_duplicates: of documents linked by 80 % of their 5-word shingles the one with the smallest id stays.
-3. repeats: strings of REPEAT_BYTES bytes that also start elsewhere are taken out; a document of which only white space
-   is left goes.
+3. repeats: strings of REPEAT_BYTES bytes that also start elsewhere, and shorter passages of REPEAT_WORDS words that are
+   also elsewhere, are taken out; a document of which only white space is left goes.
 4. decontamination: documents that hold ten consecutive words of a benchmark item go.
 5. sentencepiece: what is left is encoded; a document comes out with its best segmentation and the gap to the next one.
 
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from logweave.llm import decontaminate, neardup, pieces, quality, repeats
 from logweave.llm.common import materialize, table, tokenizer_path
 
-#: Length of a repeated string: below that of any passage of over 50 words, above that of common lines.
+#: Length of a repeated string: below that of most passages of over 50 words, above that of common lines.
 REPEAT_BYTES = 250
+#: Words of a repeated passage: over 50. Short words need as few as 101 bytes for them, so such passages are found by words.
+REPEAT_WORDS = 51
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(docs, REPEAT_BYTES)
+    return repeats.without_repeats(docs, REPEAT_BYTES, REPEAT_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

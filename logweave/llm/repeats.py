@@ -310,14 +310,69 @@ def find(docs: DataFrame, length: int = 400, gram: int = GRAM, frequent: int = F
     return scratch.finish(whole.union(found), "spans")
 
 
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end bytes of the words of a UTF-8 text, parted as str.split() does."""
+    space = _ASCII_SPACE[data]
+    if data.size and (data > 0x7F).any():
+        pad = np.concatenate([data, np.zeros(2, np.uint8)])
+        a, b, c = pad[:-2], pad[1:-1], pad[2:]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+        three |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        space |= two | three
+        space[1:] |= (two | three)[:-1]
+        space[2:] |= three[:-2]
+    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def short_passages(text: bytes, words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end bytes of the runs of so many words that are shorter than `length` bytes."""
+    first, last = word_bounds(np.frombuffer(text, np.uint8))
+    first, last = first[: max(0, len(first) - words + 1)], last[words - 1 :]
+    short = last - first < length
+    return first[short], last[short]
+
+
+def find_passages(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(id, r1, s0, s1) like find()'s, s1 + length being the end: runs of so many words, shorter than `length` bytes, whose bytes
+    are also such a run elsewhere. Longer ones hold a string of `length` bytes at each of their places, which find() finds."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), *_SPAN])
+
+    def run(batches):
+        for batch in batches:
+            out = {f.name: [] for f in schema}
+            for t, i, r in zip(byte_lists(batch), batch.column("id").to_pylist(), batch.column("r1").to_pylist(), strict=True):
+                for a, b in zip(*(x.tolist() for x in short_passages(t, words, length)), strict=True):
+                    h = xxhash.xxh3_128_intdigest(t[a:b])
+                    for name, value in zip(out, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), i, r, a, b - length), strict=True):
+                        out[name].append(value)
+                if len(out["id"]) > 1 << 16:
+                    yield packed(out, schema)
+                    out = {f.name: [] for f in schema}
+            yield packed(out, schema)
+
+    scratch = Scratch(docs.sparkSession)
+    runs = scratch.save(arrow_map(_keyed(docs).select("id", "r1", "text"), run, f"h1 long, h2 long, {_SPAN_SQL}"), "passages")
+    again = runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    return scratch.finish(runs.join(again, ["h1", "h2"], "left_semi").select(*_SPAN.names), "passage-spans")
+
+
 def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
     bytes_ = F.coalesce(utf8(), F.lit(b""))
     return docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(bytes_).alias("r1"), bytes_.alias("text"))
 
 
-def _marked(docs: DataFrame, length: int, keep: list[str]) -> DataFrame:
+def _marked(docs: DataFrame, length: int, keep: list[str], words: int | None = None) -> DataFrame:
     """The kept columns with the text's bytes and its repeated spans (start and end bytes, as found)."""
-    spans = find(docs, length).groupBy("id", "r1").agg(F.collect_list(F.struct("s0", "s1")).alias("spans"))
+    spans = find(docs, length)
+    if words:
+        spans = spans.union(find_passages(docs, words, length))
+    spans = spans.groupBy("id", "r1").agg(F.collect_list(F.struct("s0", "s1")).alias("spans"))
     spans = materialize(spans, "spans")
     rows = docs.select(*(F.col(f"`{c}`").alias(f"keep_{c}") for c in keep), "doc_id", "text")
     return _keyed(rows, *(f"keep_{c}" for c in keep)).join(broadcast_if_small(spans, 200_000), ["id", "r1"], "left")
@@ -355,14 +410,15 @@ def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     return arrow_map(marked.select("keep_doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int, words: int | None = None) -> DataFrame:
     """The documents with their repeated bytes taken out, all columns kept and n_chars (if any) counted anew.
 
+    With `words`, repeated runs of so many words go too, however few bytes they have.
     A character that a cut splits goes as a whole. A document of which only white space is left goes; a document from
     which nothing was taken stays as it is, empty or null texts too.
     """
     columns = docs.columns
-    marked = _marked(docs, length, columns)
+    marked = _marked(docs, length, columns, words)
     kept = [f"keep_{c}" for c in columns]
     schema = ", ".join(f"`keep_{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 

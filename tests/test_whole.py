@@ -1,9 +1,13 @@
 """Queries that do the whole job, beside those that their given SQL cuts."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 
+import corpus_pipeline
+from logweave.llm import repeats
 from logweave.operators import faults, state
 from logweave.plans import catalog, delivery_queries
 from logweave.sources.derived import batches, kv_log
@@ -47,3 +51,21 @@ def test_recovery_ends_at_the_first_hole(spark):
     assert got(rows) == [(0, 0, 600, 1200, 2398), (1, 0, 600, 1200, 2400)]
     assert got([r for r in rows if r[0] != 700]) == [(0, 0, 350, 700, 1398), (1, 0, 350, 700, 1400)]
     assert got(rows[1:]) == []
+
+
+def test_words_are_parted_as_python_does():
+    text = "a\u00a0bé\u2003\u3000c\x1cd\u1680e\u2028f\u205f g\x85 \u200b中 \n"
+    first, last = repeats.word_bounds(np.frombuffer(text.encode(), np.uint8))
+    assert [text.encode()[a:b].decode() for a, b in zip(first, last, strict=True)] == text.split()
+    assert [len(x) for x in repeats.word_bounds(np.frombuffer(b"", np.uint8))] == [0, 0]
+
+
+def test_repeated_passages_of_short_words_go(spark):
+    rnd = random.Random(3)
+    passage = " ".join(rnd.choice("abcdefgh") for _ in range(51))
+    fewer = " ".join(rnd.choice("ijklmnop") for _ in range(50))
+    rows = [(1, f"one {passage} end"), (2, f"two words {passage}"), (3, f"x1 {fewer} x2"), (4, f"y1 {fewer} y2"), (5, passage[:-1] + "z"), (6, None), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in repeats.without_repeats(docs, corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS).collect()}
+    assert len(passage) == 101
+    assert got == {1: "one  end", 2: "two words ", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: None}
