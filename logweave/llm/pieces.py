@@ -7,10 +7,11 @@ of an A* search that walks back from the end, it is exact, so the search pops co
 No piece holds a space mark after another character, so paths meet before each run of marks and the lattice of a text
 is a chain of chunk lattices. Chunks are searched and remembered one by one. Two passes of Viterbi give each chunk's
 best path and the gap to its next one; the n best paths of a chain differ from the best in at most n - 1 chunks, those
-of the n - 1 smallest gaps, so A* runs in those alone and the lists are merged by score.
+of the n - 1 smallest gaps, so A* runs in those alone and the lists are merged by score. All paths of those chunks, the
+best too, are A*'s, and so is the best path of a chunk whose gap is nought, as passes and search may part on ties.
 
 Scores: a unigram model's own. A BPE model has merge ranks only; its pieces get log(1 / (rank + 1)), Zipf's law. Equal
-scores are ordered by the path's piece ids. A null or empty text has no pieces and one empty segmentation.
+scores come in the order of the search, which depends on the chunk alone. A null or empty text has no pieces and one empty segmentation.
 """
 
 from __future__ import annotations
@@ -34,6 +35,12 @@ OWN = "\ud800"
 _CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Chunks that a worker remembers before it starts anew; bounds its memory.
 MEMO = 800_000
+#: Gaps below it are rounding: the paths count as equal.
+TIE = 1e-9
+
+
+def _words(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Pieces:
@@ -79,13 +86,15 @@ class Pieces:
         self.scores, self.gaps = np.zeros(1024), np.zeros(1024)
         self.lists: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        """Search the chunks that aren't remembered."""
+    def learn(self, chunks: set[str], n: int = 1) -> None:
+        """Search the chunks that aren't remembered; n is the length of the lists that A* makes on ties."""
         for chunk in [c for c in chunks if c not in self.place]:
             k = self.place[chunk] = len(self.ids)
             if k == len(self.scores):
                 self.scores, self.gaps = np.resize(self.scores, 2 * k), np.resize(self.gaps, 2 * k)
             self.scores[k], self.gaps[k], ids = self._best(chunk)
+            if self.gaps[k] < TIE:
+                ids = _words(self.n_best(chunk, n)[0][1])
             self.ids.append(ids)
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -135,7 +144,7 @@ class Pieces:
             j, ids = back[j]
             path.append(ids)
         flat = [x for ids in reversed(path) for x in (ids if isinstance(ids, tuple) else (ids,))]
-        return first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), struct.pack(f"<{len(flat)}I", *flat)
+        return first[n], first[n] - second[n] if second[n] > -1e200 else float("inf"), _words(flat)
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk by A* from its end, with the forward scores as heuristic."""
@@ -170,16 +179,15 @@ class Pieces:
         cut = [self.chunks(t) if t else [] for t in texts]
         if len(self.place) > MEMO:
             self.forget()
-        self.learn(set().union(*cut))
+        self.learn(set().union(*cut), n)
         return [self._chain(c, n) for c in cut]
 
     def _chain(self, chunks: list[str], n: int) -> list[tuple[float, bytes]]:
         at = list(map(self.place.__getitem__, chunks))
         parts = list(map(self.ids.__getitem__, at))
         total = float(self.scores[at].sum()) if at else 0.0
-        out = [(total, b"".join(parts))]
         if n < 2 or not at:
-            return out
+            return [(total, b"".join(parts))]
         gaps = self.gaps[at]
         spots = np.sort(np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps)))
         spots = [k for k in spots.tolist() if gaps[k] < 1e200]
@@ -188,12 +196,11 @@ class Pieces:
         for k in spots:
             losses = [max(0.0, self.scores[at[k]] - s) for s, _ in self.n_best(chunks[k], n)]
             merged = heapq.nsmallest(n, [(a + b, (*c, m)) for a, c in merged for m, b in enumerate(losses)])
-        for loss, choice in merged[1:]:
+        out = []
+        for loss, choice in merged:
             swapped = parts.copy()
             for k, m in zip(spots, choice, strict=True):
-                if m:
-                    ids = self.n_best(chunks[k], n)[m][1]
-                    swapped[k] = struct.pack(f"<{len(ids)}I", *ids)
+                swapped[k] = _words(self.n_best(chunks[k], n)[m][1])
             out.append((total - float(loss), b"".join(swapped)))
         return out
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from logweave.llm import repeats
+from logweave.llm import pieces, repeats
+from logweave.llm.common import tokenizer_path
 from logweave.operators import faults, state
 from logweave.plans import catalog, delivery_queries
 from logweave.sources.derived import batches, kv_log
@@ -69,3 +70,25 @@ def test_repeated_passages_of_short_words_go(spark):
     got = {r.doc_id: r.text for r in repeats.without_repeats(docs, corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS).collect()}
     assert len(passage) == 101
     assert got == {1: "one  end", 2: "two words ", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: None}
+
+
+def test_tied_segmentations_are_distinct_and_right():
+    model = pieces.pieces_for(tokenizer_path("piece_bpe_32k.model"))
+
+    def paths(into, j):
+        if j == 0:
+            yield 0.0, ()
+        for i, s, ids in into[j] if j else ():
+            for a, p in paths(into, i):
+                yield a + s, p + ids
+
+    for text in ["aaaaaa", "aaaaaa aaaaaa", "aaaaaaa", "abababab", "x aaaaaa b aaaaa"]:
+        full = "".join(model.chunks(text))
+        scores = {np.array(ids, "<u4").tobytes(): round(s, 6) for s, ids in paths(model.edges(full), len(full))}
+        for n in (1, 2, 3, 5):
+            got = model.encode([text], n)[0]
+            assert [scores[ids] for _, ids in got] == [round(s, 6) for s, _ in got] == sorted(scores.values(), reverse=True)[:n]
+            assert len({ids for _, ids in got}) == len(got)
+            floor = round(got[-1][0], 6)
+            assert {i for i, s in scores.items() if s > floor} <= {ids for _, ids in got}
+        assert len({model.encode([text], n)[0][0][1] for n in (1, 2, 3)}) == 1
