@@ -11,9 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-#: Rows in an Arrow batch. Texts can be long, so batches are kept small to bound a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch at most (a single longer row is a batch of its own): texts can be long, and a worker
+#: holds a batch, its copy as Python objects and what is made of it.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: On a local disk Hadoop writes a checksum file beside each file and starts a process for the permissions of each;
+#: intermediate tables go without the former. Other file systems don't look at these options.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,41 +26,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where it is unset."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset a local folder serves a local master; on a cluster it is an error, as executors would not see
+    each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "file://" + os.environ.get("LOGWEAVE_SHARED_DIR", "/tmp/checkpoints")
 
 
+def _written(df: DataFrame, name: str) -> str:
+    spark = df.sparkSession
+    text = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _located(spark, text)
+    fs.deleteOnExit(path)
+    try:
+        df.write.options(**_PLAIN_FILES).parquet(text)
+    except Exception:
+        remove(spark, text)
+        raise
+    return text
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    return Scratch(df.sparkSession).save(df, name)
+    """Write a table into the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    The table goes when the driver's JVM ends, as it does if the write fails.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+
+
+def _located(spark: SparkSession, text: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for text in paths:
+        fs, path = _located(spark, text)
+        fs.delete(path, True)
+        fs.cancelDeleteOnExit(path)
 
 
 class Scratch:
-    """Tables that one operator writes into the shared folder on its way, removed together once its result is written."""
+    """Tables that one operator writes into the shared folder on its way, removed together once its result is written or
+    the operator has failed: `with Scratch(spark) as scratch`."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: list[str] = []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def __enter__(self) -> Scratch:
+        return self
 
-    def finish(self, result: DataFrame, name: str) -> DataFrame:
-        """Write the result, remove the tables before it, and let Spark's cleaner find the shuffle files they came from."""
-        done = materialize(result, name)
-        jvm = self.spark.sparkContext._jvm
-        for text in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(text)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def __exit__(self, *_) -> None:
+        remove(self.spark, *self.paths)
         self.paths = []
         self.release()
-        return done
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(_written(df, name))
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def finish(self, result: DataFrame, name: str) -> DataFrame:
+        """Write the result, then remove the tables before it."""
+        with self:
+            return materialize(result, name)
 
     def release(self) -> None:
         """Collect garbage on the driver: shuffle files of plans that nothing refers to go with it."""
@@ -64,8 +104,14 @@ class Scratch:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes.
+
+    Both bounds are settings of the session; where it has its own for the bytes, that one holds.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
@@ -99,7 +145,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark for broadcast only if a count proves that df has at most so many rows; else leave the join to shuffle."""
+    """Mark for broadcast only if a count proves that df has at most so many rows; else leave the join to shuffle.
+
+    Only for rows of numbers and short keys, whose number bounds the bytes.
+    """
+    if any(isinstance(f.dataType, (ArrayType, MapType, StructType)) for f in df.schema):
+        raise TypeError("rows of unbounded width: their number bounds nothing")
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
