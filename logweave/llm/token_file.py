@@ -70,30 +70,50 @@ class Encoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.known: dict[str, bytes] = {}
         self.memo = memo
-
-    def cut(self, text: str) -> list[str]:
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        #: By id, whether a token ends a pre-token.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[k for name, k in vocabulary.items() if suffix and name.endswith(suffix)]] = True
+
+    def cut(self, text: str) -> tuple[list[str], bool]:
+        """The parts of a text, and whether they are pre-tokens."""
         if not self.by_word:
-            return [text]
+            return [text], False
         if "<|" not in text:
             try:
                 text.encode("latin-1")
-                return _LATIN.findall(text.lower())
+                return _LATIN.findall(text.lower()), True
             except UnicodeEncodeError:
                 pass
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ").split(" "), False
+
+    def learn(self, new: list[str], pre_tokens: bool) -> None:
+        """Remember the ids of new parts. Pre-tokens are encoded many at a time, and told apart by the ids that end one."""
+        if pre_tokens:
+            joined = self.tokenizer.encode_batch_fast([" ".join(new[k : k + 500]) for k in range(0, len(new), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in joined)])
+            edges = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(edges) == len(new):
+                data, start = ids.astype("<u4").tobytes(), 0
+                for part, end in zip(new, edges, strict=True):
+                    self.known[part] = data[start:end]
+                    start = end
+                return
+        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
+            self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        parts = [self.cut(t) for t in texts]
+        found = [self.cut(t) for t in texts]
         if len(self.known) > self.memo:
             self.known.clear()
-        new = [c for c in set().union(*parts) if c not in self.known]
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for pre_tokens in (True, False):
+            new = [c for c in set().union(*(p for p, kind in found if kind == pre_tokens)) if c not in self.known]
+            for k in range(0, len(new), 10_000):
+                self.learn(new[k : k + 10_000], pre_tokens)
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) + end for c in parts]
+        return [b"".join(map(get, parts)) + end for parts, _ in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
