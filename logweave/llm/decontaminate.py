@@ -6,11 +6,14 @@ is in. Each place of that word gives the one position where the window could lie
 what would leave the document, then the other words are compared from rare to common until all have matched.
 
 Words are lower-cased (A-Z) runs of digits, a-z and anything beyond ASCII. Null and empty texts have no words. Items
-with a null id are left out; repeated items count once. Duplicate documents are judged each on its own.
+with a null id are left out; repeated items count once. Duplicate documents are judged each on its own. A benchmark
+without words marks nothing; an empty table of documents gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,10 @@ for _a, _b in (("0", "9"), ("a", "z")):
     _WORD[ord(_a) : ord(_b) + 1] = range(ord(_a), ord(_b) + 1)
 _WORD[ord("A") : ord("Z") + 1] = range(ord("a"), ord("z") + 1)
 _WORD = bytes(_WORD)
-#: Bytes of item text in an index; a larger benchmark is matched index by index.
-INDEX_BYTES = 32 << 20
+#: Bytes of item text in an index, which takes some 20 times as much in memory; a larger benchmark is matched index by index.
+INDEX_BYTES = 4 << 20
+#: Places of windows that are compared at once.
+PLACES = 1 << 19
 
 
 def words(text: bytes) -> list[bytes]:
@@ -38,21 +43,27 @@ class Index:
     def __init__(self, items: list[tuple[int, list[bytes]]], size: int):
         self.vocabulary: dict[bytes, int] = {}
         number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary))
-        found: dict[tuple[int, ...], set[int]] = {}
+        found, owners = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int64)]
         for item, ws in items:
-            ids = [number(w) for w in ws]
-            for k in range(max(1, len(ids) - size + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + size]), set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.windows = np.full((len(found), size), -2, np.int64)
-        for k, w in enumerate(found):
-            self.windows[k, : len(w)] = w
+            ids = np.array([number(w) for w in ws], np.int32)
+            if len(ids):
+                short = np.concatenate([ids, np.full(max(0, size - len(ids)), -1, np.int32)])
+                found.append(np.lib.stride_tricks.sliding_window_view(short, size))
+                owners.append(np.full(len(found[-1]), item, np.int64))
+        self.windows, of = np.unique(np.concatenate(found), axis=0, return_inverse=True)
+        self.lengths = (self.windows >= 0).sum(1)
+        pairs = np.unique(np.stack([of.reshape(-1), np.concatenate(owners)], 1), axis=0)
+        self.owners, self.begin = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+
+    def items(self, windows: np.ndarray) -> set[int]:
+        """The items that hold one of the windows."""
+        return {i for w in windows.tolist() for i in self.owners[self.begin[w] : self.begin[w + 1]].tolist()}
 
     def rank(self, frequency: np.ndarray) -> None:
         """frequency: by word id, the documents that hold it. Sets each window's order of comparison and the prefix lists."""
-        key = np.where(self.windows >= 0, frequency[self.windows] * np.int64(len(frequency) + 1) + self.windows, np.iinfo(np.int64).max)
-        self.order = np.argsort(key, axis=1, kind="stable")
+        words = np.maximum(self.windows, 0).astype(np.int64)
+        key = np.where(self.windows >= 0, frequency[words] * np.int64(len(frequency) + 1) + words, np.iinfo(np.int64).max) if len(frequency) else words
+        self.order = np.argsort(key, axis=1, kind="stable").astype(np.int32)
         prefix = self.windows[np.arange(len(self.windows)), self.order[:, 0]] if len(self.windows) else np.zeros(0, np.int64)
         self.by_prefix = np.argsort(prefix, kind="stable")
         self.first = np.searchsorted(prefix[self.by_prefix], np.arange(len(frequency) + 1))
@@ -64,14 +75,18 @@ class Index:
         at = np.flatnonzero(ids >= 0)
         many = self.first[ids[at] + 1] - self.first[ids[at]]
         at, many = at[many > 0], many[many > 0]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts = np.cumsum(many) // PLACES
+        found = [self._compared(ids, at[parts == k], many[parts == k]) for k in np.unique(parts)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+    def _compared(self, ids: np.ndarray, at: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that lie round the given places, each the place of so many windows' rarest word."""
         within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         window = self.by_prefix[np.repeat(self.first[ids[at]], many) + within]
         start = np.repeat(at, many) - self.order[window, 0]
+        fits = (start >= 0) & (start + self.lengths[window] <= len(ids))
+        window, start = window[fits], start[fits]
         for k in range(self.windows.shape[1]):
-            fits = (start >= 0) & (start + self.lengths[window] <= len(ids)) if k == 0 else np.ones(len(window), bool)
-            window, start = window[fits], start[fits]
             if not len(window):
                 break
             column = self.order[window, k]
@@ -99,19 +114,23 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, size: int, index_bytes: int = INDEX_BYTES) -> list[Index]:
-    """One index for each `index_bytes` of item text, so that what is shipped to a task is bounded."""
-    out, batch, held = [], [], 0
+def indexes(docs: DataFrame, benchmark: DataFrame, size: int, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """One index for each `index_bytes` of item text, so that what the driver holds and a task gets is bounded."""
+
+    def made(batch):
+        index = Index(batch, size)
+        index.rank(frequencies(docs, index.vocabulary) if index.vocabulary else np.zeros(0, np.int64))
+        return index
+
+    batch, held = [], 0
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), utf8().alias("text")).distinct()
     for item, text in rows.toLocalIterator():
         batch.append((item, words(bytes(text))))
         held += len(text)
         if held >= index_bytes:
-            out, batch, held = [*out, Index(batch, size)], [], 0
-    out += [Index(batch, size)] if batch or not out else []
-    for x in out:
-        x.rank(frequencies(docs, x.vocabulary) if x.vocabulary else np.zeros(0, np.int64))
-    return out
+            yield made(batch)
+            batch, held = [], 0
+    yield made(batch)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: list[str] | None = None, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -128,10 +147,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: l
     empty = F.array().cast("array<long>")
     out = docs.select(*(F.col(f"`{f.name}`").alias(f"keep_{f.name}") for f in own), utf8().alias("__bytes"), F.lit(0).cast("long").alias("__n"), empty.alias("__spans"), empty.alias("__items"))
     found = indexes(docs, benchmark, size, index_bytes)
-    for k, index in enumerate(found):
-        shared = spark.sparkContext.broadcast(index)  # of at most index_bytes of item text
+    index = next(found)
+    while index is not None:
+        shared, index = spark.sparkContext.broadcast(index), next(found, None)  # of at most index_bytes of item text
 
-        def run(batches, shared=shared, last=k == len(found) - 1):
+        def run(batches, shared=shared, last=index is None):
             index = shared.value
             for batch in batches:
                 n, spans, items = [], batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
@@ -141,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, keep: l
                     n.append(len(ws))
                     window, start = index.match(ws)
                     if len(window):
-                        items[j] = sorted({*items[j], *(i for w in np.unique(window) for i in index.items[w])})
+                        items[j] = sorted({*items[j], *index.items(np.unique(window))})
                         spans[j] = merged(spans[j], start, start + index.lengths[window])
                 columns = [batch.column(f"keep_{f.name}") for f in own] + [pa.array([None] * len(texts) if last else texts, pa.binary()), pa.array(n, pa.int64()), pa.array(spans, extra.field(2).type), pa.array(items, extra.field(3).type)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f"keep_{f.name}" for f in own), *extra.names])
