@@ -4,16 +4,20 @@ Each page's containers are scored by the text of their blocks that isn't link te
 tag-class paths (numbers, attributes and order of classes left out) of its best containers; votes are summed by host in
 Spark, and every page is read again with its host's winning path. A page without an element on that path falls back to
 its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-take part in neither step.
+take part in neither step: elements with a tag or role of that kind, or with a class or id that is nothing but words of
+that kind and of page furniture (`ad-slot`, `related-posts`; `share-price` and `promo-story` have other words and stay).
+Paragraphs, headings, quotes and other blocks of text go by the plainest of these words alone. A page that has no text
+left is read again by tags and roles only.
 
 Null html is empty; a page without text gets an empty one. Of equal votes the path that sorts first wins. Repeated
 pages vote and are read each on their own. A null or odd url has the host that is left of it, at last the empty one.
-Extra columns are ignored.
+Memory is linear in the html, however long or deeply nested. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -26,7 +30,7 @@ from logweave.llm.common import arrow_map, broadcast_if_small, packed
 VOTES = 3
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)/?>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>",
+    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)/?>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -41,21 +45,50 @@ _DROPPED_WORDS = frozenset(
     "comment comments reply replies respond disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations widget pagination pager masthead toolbar skip search form".split()
 )
+#: Words that say nothing about a text, beside one of the dropped ones.
+_FURNITURE = frozenset(
+    "bar block blocks body bottom box btn button buttons card cards col column container content div feed footer group head header icon icons inner item items left link links list lists "
+    "main module outer page panel popular post posts primary rail region right row section sections site slot small sticky tag text title tool tools top unit wide wrap wrapper zone js global desktop mobile".split()
+)
+#: Of the dropped words those that drop a block of text too, standing alone.
+_PLAINEST = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored breadcrumb breadcrumbs comment comments cookie cookies consent newsletter subscribe pagination".split())
 _DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _GOOD_WORDS = frozenset("article content post entry story main body text".split())
 _OUTER = frozenset("html body article main".split())
 
 
+def _named_away(tag: str, names: list[str]) -> bool:
+    """Whether one of an element's classes or ids says that it isn't article text."""
+    for name in names:
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if tag in _BLOCK:
+            if len(words) == 1 and words[0] in _PLAINEST:
+                return True
+        elif not _DROPPED_WORDS.isdisjoint(words) and _DROPPED_WORDS.union(_FURNITURE).issuperset(words):
+            return True
+    return False
+
+
 class Page:
-    """The blocks of a page, each with its text, its characters outside links, and the elements it stands in."""
+    """The blocks of a page, each with its text, its characters outside links, and the element it stands in.
+
+    An element's path is a number: that of its parent's path and its own tag and classes together.
+    """
 
     def __init__(self, html: str):
-        self.paths: list[str] = []
+        self._read(html, True)
+        if not self.blocks:
+            self._read(html, False)
+
+    def _read(self, html: str, by_name: bool) -> None:
+        self.paths: list[int] = []
         self.parents: list[int] = []
-        self.tags: list[str] = []
+        self.homes: list[int] = []  # the container that an element's text counts for
         self.good: list[bool] = []
         self.blocks: list[tuple[str, int, int]] = []  # text, characters outside links, element
-        stack: list[tuple[str, int, bool]] = []  # tag, element, dropped
+        self.known: dict[tuple[int, str], int] = {}
+        stack: list[tuple[str, int, bool]] = []  # tag, element (the last one that isn't dropped), dropped
+        opened: dict[str, int] = defaultdict(int)
         text: list[str] = []
         plain = link = 0
 
@@ -76,6 +109,11 @@ class Page:
                 if not link:
                     plain += len(piece.strip())
 
+        def close(k: int):
+            for name, _, _ in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+
         at = 0
         for m in _TOKEN.finditer(html):
             if m.start() > at:
@@ -95,42 +133,48 @@ class Page:
                 continue
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in ("article", "main", "body") and tag in _BLOCK:
                         break
                 link = 0
                 continue
             if stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
-                stack.pop()
-            words, dropped = self._words(tag, rest, stack)
-            parent = stack[-1][1] if stack else -1
-            name = tag + "".join(f".{w}" for w in sorted(words))
-            self.paths.append(f"{self.paths[parent]}>{name}" if parent >= 0 else name)
-            self.parents.append(parent)
-            self.tags.append(tag)
-            self.good.append(tag in ("article", "main") or bool(words & _GOOD_WORDS))
-            stack.append((tag, len(self.paths) - 1, dropped or bool(stack and stack[-1][2])))
+                close(len(stack) - 1)
+            parent, dropped = (stack[-1][1], stack[-1][2]) if stack else (-1, False)
+            if not dropped:
+                words, dropped = self._words(tag, rest, by_name)
+                dropped |= tag == "header" and not (opened["article"] or opened["main"])
+                if not dropped:
+                    parent = self._add(tag, words, parent)
+            stack.append((tag, parent, dropped))
+            opened[tag] += 1
         if at < len(html):
             say(html[at:])
         flush()
 
+    def _add(self, tag: str, words: set[str], parent: int) -> int:
+        e, name = len(self.paths), tag + "".join(f".{w}" for w in sorted(words))
+        self.paths.append(self.known.setdefault((self.paths[parent] if parent >= 0 else -1, name), len(self.known)))
+        self.parents.append(parent)
+        self.homes.append(e if tag not in _BLOCK else self.homes[parent] if parent >= 0 else -1)
+        self.good.append(tag in ("article", "main") or bool(words & _GOOD_WORDS))
+        return e
+
     @staticmethod
-    def _words(tag: str, rest: str, stack: list) -> tuple[set[str], bool]:
-        """The element's generalised classes, and whether it is of no interest by its tag, classes, id or role."""
-        dropped = tag in _DROPPED_TAGS or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+    def _words(tag: str, rest: str, by_name: bool) -> tuple[set[str], bool]:
+        """The element's generalised classes, and whether it is of no interest by its tag, role, classes or id."""
+        dropped = tag in _DROPPED_TAGS
         classes: set[str] = set()
         if rest and "=" in rest or "hidden" in (rest or ""):
             for m in _ATTRIBUTE.finditer(rest):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id"):
-                    words = [re.sub(r"\d+", "", w) for w in value.split()]
                     if name == "class":
-                        classes.update(w for w in words if w)
-                    if tag not in _OUTER and not _DROPPED_WORDS.isdisjoint(x for w in words for x in re.split(r"[^a-z]+", w)):
-                        dropped = True
+                        classes.update(w for w in (re.sub(r"[^\w-]+|\d+", "", w) for w in value.split()) if w)
+                    dropped |= by_name and tag not in _OUTER and _named_away(tag, value.split())
                 elif name == "role":
                     dropped |= value in _DROPPED_ROLES
                 elif name == "style":
@@ -139,30 +183,49 @@ class Page:
                     dropped |= name == "hidden" and m[0] == rest.strip() or value == "true"
         return classes, dropped
 
+    def _path(self, e: int) -> str:
+        """The tag-class path of an element, from the outermost one."""
+        if not hasattr(self, "names"):
+            self.names = {number: (above, name) for (above, name), number in self.known.items()}
+        parts, number = [], self.paths[e]
+        while number >= 0:
+            number, name = self.names[number]
+            parts.append(name)
+        return ">".join(reversed(parts))
+
+    def _number(self, path: str) -> int:
+        """The number of a path, -2 if the page has none such."""
+        number = -1
+        for name in path.split(">"):
+            number = self.known.get((number, name), -2)
+            if number == -2:
+                break
+        return number
+
     def containers(self) -> list[tuple[str, int]]:
         """(path, score) of the best containers: a block counts in full for its container and by halves further up."""
-        scores: dict[int, float] = {}
+        scores: dict[int, float] = {}  # by path
+        of: dict[int, int] = {}
         for _, plain, e in self.blocks:
-            while e >= 0 and self.tags[e] in _BLOCK:
-                e = self.parents[e]
-            share = float(plain)
+            e, share = self.homes[e] if e >= 0 else -1, float(plain)
             while e >= 0 and share >= 1:
-                scores[e] = scores.get(e, 0.0) + share
+                number = self.paths[e]
+                of.setdefault(number, e)
+                scores[number] = scores.get(number, 0.0) + share * (1.5 if self.good[e] else 1.0)
                 e, share = self.parents[e], share / 2
-        best: dict[str, float] = {}
-        for e, s in scores.items():
-            best[self.paths[e]] = best.get(self.paths[e], 0.0) + s * (1.5 if self.good[e] else 1.0)
-        ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
+        edge = sorted(scores.values(), reverse=True)[:VOTES][-1:]
+        ranked = sorted(((self._path(of[x]), s) for x, s in scores.items() if s >= edge[0]), key=lambda x: (-x[1], x[0]))[:VOTES] if edge else []
         return [(p, round(1000 * s / ranked[0][1])) for p, s in ranked if ranked[0][1] > 0]
 
     def text(self, path: str | None) -> str:
         """The blocks inside elements on the path, or inside those on the page's own best one."""
-        if path is None or path not in self.paths:
+        number = self._number(path) if path is not None else -2
+        if number < 0:
             own = self.containers()
-            path = own[0][0] if own else None
+            path, number = (own[0][0], self._number(own[0][0])) if own else (None, -2)
         wanted = set()
         for e, p in enumerate(self.paths):  # parents come first
-            if p == path or self.parents[e] in wanted:
+            if p == number or self.parents[e] in wanted:
                 wanted.add(e)
         return "\n\n".join(t for t, _, e in self.blocks if e in wanted or path is None)
 
