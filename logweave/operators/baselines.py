@@ -21,8 +21,7 @@ def token_grants(requests: DataFrame, message_bytes: int = 64) -> DataFrame:
     done = done.withColumns({"granted": F.col("release"), "status": F.when(F.col("release") == F.col("arrival"), "GRANTED").otherwise("OUT_OF_ORDER"), "size": F.col("num_msg") * message_bytes, "tick_range": F.expr("release div 100"), "_one": F.lit(1).cast("long")})
     order = ["granted", "client_id", "broker_id", "stream_seq"]
     done = prefix_sums(done, "tick_range", order, {"total_order": "num_msg"})
-    w = Window.partitionBy("broker_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return done.withColumns({"log_index": F.coalesce(F.sum("size").over(w), F.lit(0).cast("long")), "broker_batch_seq": F.coalesce(F.sum("_one").over(w), F.lit(0).cast("long"))})
+    return prefix_sums(done, "tick_range", order, {"log_index": "size", "broker_batch_seq": "_one"}, ("broker_id",))
 
 
 def repeated_requests(requests: DataFrame) -> DataFrame:

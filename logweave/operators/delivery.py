@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +25,16 @@ def next_batch(goi: DataFrame, total_order: int, most: int) -> DataFrame:
     return goi.where(F.col("total_order") >= total_order).orderBy("total_order").limit(most)
 
 
+def consume(goi: DataFrame, total_order: int = 0) -> Iterator[Row]:
+    """The ordered batches from a message number on, one by one up to the first hole; the driver holds a partition at a time."""
+    expected = total_order
+    for row in goi.where(F.col("total_order") >= total_order).orderBy("total_order").toLocalIterator():
+        if row.total_order != expected:
+            return
+        expected += row.num_msg
+        yield row
+
+
 def reject_behind(batches: DataFrame, sessions: DataFrame) -> DataFrame:
     """Spatial guard: batches of an active session that is fenced, or below its durable expected seq."""
     held = batches.join(sessions.where("active"), ["client_id", "session_epoch"])

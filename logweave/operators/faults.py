@@ -79,21 +79,3 @@ def stalled_replicas(goi: DataFrame, replicated: DataFrame, now: int, factor: in
     """Ordered batches older than `age` with fewer than `factor` replicas and no change in the last `age` ticks."""
     seen = goi.join(replicated, "batch_id", "left").withColumns({"num_replicated": F.coalesce("num_replicated", F.lit(0).cast("long")), "changed": F.coalesce("changed", F.col("release"))})
     return seen.where((F.lit(now) - F.col("release") > age) & (F.col("num_replicated") < factor) & (F.lit(now) - F.col("changed") >= age))
-
-
-def invariants(goi: DataFrame, fences: DataFrame) -> DataFrame:
-    """(invariant, violations) of an order and its fences; all are 0 in a sound one."""
-    session = Window.partitionBy(*SESSION)
-    marked = goi.join(fences.select(*SESSION, "fence_seq"), SESSION, "left")
-    prefix = marked.withColumn("_p", F.row_number().over(session.orderBy("batch_seq")) - 1).withColumn("_o", F.row_number().over(session.orderBy("goi")) - 1)
-    sums = prefix.agg(
-        F.sum((F.col("_p") != F.col("batch_seq")).cast("long")).alias("PerSessionPrefix"),
-        F.sum((F.col("_o") != F.col("_p")).cast("long")).alias("LateNeverReordered"),
-        F.sum(F.coalesce(F.col("batch_seq") >= F.col("fence_seq"), F.lit(False)).cast("long")).alias("FencedSuffixNeverCommitted"),
-        F.sum((F.col("total_order") < 0).cast("long")).alias("NoWrap"),
-    )
-    once = goi.groupBy(*SESSION, "batch_seq").count().agg(F.sum((F.col("count") > 1).cast("long")).alias("NoDupCommit"))
-    dense = goi.agg((F.max("goi") + 1 - F.count("*")).alias("DenseOrder"), (F.max(F.col("total_order") + F.col("num_msg")) - F.sum("num_msg")).alias("DenseMessages"))
-    wide = sums.crossJoin(once).crossJoin(dense)  # single rows
-    names = wide.columns
-    return wide.unpivot([], names, "invariant", "violations").select("invariant", F.coalesce("violations", F.lit(0).cast("long")).alias("violations"))

@@ -38,20 +38,30 @@ def release(batches: DataFrame, key: list[str] | None = None, seq: str = "batch_
     return done.withColumns({"release": F.max("arrival").over(so_far), "commit_epoch": F.max("epoch").over(so_far)})
 
 
-def prefix_sums(rows: DataFrame, epoch: str, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
-    """Adds exclusive running sums by (epoch, order): {result: column}. The order must be unique within an epoch."""
+def prefix_sums(rows: DataFrame, epoch: str, order: list[Column | str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds exclusive running sums by (epoch, order), for each group of `by` its own: {result: column}. The order must be
+    unique within an epoch. The top level has a row for each COARSE epochs of a group, so a group isn't one task's."""
     coarse = F.floor(F.col(epoch) / COARSE)
-    by_epoch = rows.groupBy(epoch).agg(*(F.sum(c).alias(f"_e_{r}") for r, c in sums.items())).withColumn("_coarse", coarse)
-    by_range = by_epoch.groupBy("_coarse").agg(*(F.sum(f"_e_{r}").alias(f"_c_{r}") for r in sums))
-    top = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    before_range = by_range.select("_coarse", *(F.coalesce(F.sum(f"_c_{r}").over(top), F.lit(0)).alias(f"_c_{r}") for r in sums))
-    mid = Window.partitionBy("_coarse").orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-    before_epoch = by_epoch.join(before_range, "_coarse").select(epoch, *((F.col(f"_c_{r}") + F.coalesce(F.sum(f"_e_{r}").over(mid), F.lit(0))).alias(f"_b_{r}") for r in sums))
-    low = Window.partitionBy(epoch).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(before_epoch, epoch)
+    by_epoch = rows.groupBy(*by, epoch).agg(*(F.sum(c).alias(f"_e_{r}") for r, c in sums.items())).withColumn("_coarse", coarse)
+    by_range = by_epoch.groupBy(*by, "_coarse").agg(*(F.sum(f"_e_{r}").alias(f"_c_{r}") for r in sums))
+    top = (Window.partitionBy(*by) if by else Window).orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    before_range = by_range.select(*by, "_coarse", *(F.coalesce(F.sum(f"_c_{r}").over(top), F.lit(0)).alias(f"_c_{r}") for r in sums))
+    mid = Window.partitionBy(*by, "_coarse").orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    before_epoch = by_epoch.join(before_range, [*by, "_coarse"]).select(*by, epoch, *((F.col(f"_c_{r}") + F.coalesce(F.sum(f"_e_{r}").over(mid), F.lit(0))).alias(f"_b_{r}") for r in sums))
+    low = Window.partitionBy(*by, epoch).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(before_epoch, [*by, epoch])
     return out.withColumns({r: (F.col(f"_b_{r}") + F.coalesce(F.sum(c).over(low), F.lit(0))).cast("long") for r, c in sums.items()}).drop(*(f"_b_{r}" for r in sums))
 
 
+def placed(rows: DataFrame, value: str, tie: str, width: int, *by: str) -> DataFrame:
+    """Adds each row's 0-based `place` in its group by (value, tie), and the group's size `n`. Values are cut in ranges of
+    `width` for the sums, so no window holds a group. Rows of a null group or value get no place."""
+    ranged = rows.withColumns({"_range": F.floor(F.col(value) / width).cast("long"), "_one": F.lit(1).cast("long")})
+    sizes = rows.groupBy(*by).agg(F.count(value).alias("n"))
+    out = prefix_sums(ranged, "_range", [value, tie], {"place": "_one"}, by)
+    return out.join(sizes, list(by)).drop("_range", "_one")
+
+
 def numbered(rows: DataFrame, epoch: str, order: list[Column | str]) -> DataFrame:
     """Adds goi (place among all batches) and total_order (first message's number)."""
     return prefix_sums(rows.withColumn("_one", F.lit(1).cast("long")), epoch, order, {"goi": "_one", "total_order": "num_msg"}).drop("_one")
@@ -112,13 +122,20 @@ def contract_violations(rows: DataFrame, key: list[str], seq: str = "batch_seq",
 
 
 def committed_ranges(rows: DataFrame, place: str = "goi") -> DataFrame:
-    """Gaps and islands of a set of places: (first, last) of each unbroken range; ranges of 4096 places are joined at their edges."""
+    """Gaps and islands of a set of places: (first, last) of each unbroken range.
+
+    Islands are built in ranges of 4096 places. Only those at a range's edges can go on beyond it, two in a range at most,
+    and only they meet in one window.
+    """
     part = rows.select(F.col(place).alias("x")).distinct().withColumn("_range", F.expr("x div 4096"))
     w = Window.partitionBy("_range").orderBy("x")
     local = part.withColumn("_i", F.col("x") - F.row_number().over(w)).groupBy("_range", "_i").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    edge = (F.pmod("first", F.lit(4096)) == 0) | (F.pmod("last", F.lit(4096)) == 4095)
+    edges = local.where(edge).select("first", "last")
     new = F.when(F.lag("last").over(Window.orderBy("first")) + 1 == F.col("first"), 0).otherwise(1)
-    island = local.withColumn("_new", new).withColumn("_id", F.sum("_new").over(Window.orderBy("first")))
-    return island.groupBy("_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("first", "last")
+    island = edges.withColumn("_new", new).withColumn("_id", F.sum("_new").over(Window.orderBy("first")))
+    joined = island.groupBy("_id").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return local.where(~edge).select("first", "last").unionByName(joined.select("first", "last"))
 
 
 def committed_seq(rows: DataFrame, place: str = "goi") -> DataFrame:

@@ -48,6 +48,48 @@ def read_modify_write(ops: DataFrame, initial: str, mark: str, size: int) -> Dat
     return ops.groupBy("key").agg(F.substring(F.concat(F.lit(initial), F.repeat(F.lit(mark), n)), 1, size).alias("value"), F.count("*").alias("ops"))
 
 
+def read_modify_write_live(ops: DataFrame, mark: str, size: int) -> DataFrame:
+    """(key, value, ops) after ordered operations (key, place, op, value): PUT sets, DELETE clears (value null), RMW appends
+    the mark to what is there, cut to `size`.
+
+    Marks between two writes commute with the cut, so a key's last write and the count behind it decide: two partial sums.
+    """
+    last = ops.where("op <> 'RMW'").groupBy("key").agg(F.max(F.struct("place", "op", "value")).alias("w"))
+    rows = ops.join(last, "key", "left")
+    behind = (F.col("op") == "RMW") & (F.col("w").isNull() | (F.col("place") > F.col("w.place")))
+    sums = rows.groupBy("key").agg(F.max("w").alias("w"), F.sum(behind.cast("long")).alias("n"), F.count("*").alias("ops"))
+    base = F.when(F.col("w.op") == "PUT", F.col("w.value")).otherwise(F.lit(""))
+    marked = F.substring(F.concat(base, F.repeat(F.lit(mark), F.least("n", F.lit(size)).cast("int"))), 1, size)
+    value = F.when(F.col("n") > 0, marked).when(F.col("w.op") == "PUT", F.col("w.value"))
+    return sums.select("key", value.alias("value"), "ops")
+
+
+def cas_value(key: Column, expected: Column, new: Column, size: int) -> Column:
+    """C|key of 12 digits|expected version of 16|new version of 16|, filled with x."""
+    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    return F.rpad(F.concat(F.lit("C|"), digits(key, 12), F.lit("|"), digits(expected, 16), F.lit("|"), digits(new, 16), F.lit("|")), size, "x")
+
+
+def parsed_cas(value: Column) -> Column:
+    """Struct of key, expected and new, null if the text isn't such a value."""
+    fits = value.rlike(r"^C\|[0-9]{12}\|[0-9]{16}\|[0-9]{16}\|")
+    part = lambda a, n, name: F.substring(value, a, n).cast("long").alias(name)
+    return F.when(fits, F.struct(part(3, 12, "key"), part(16, 16, "expected"), part(33, 16, "new")))
+
+
+def crc32c(text: Column) -> Column:
+    """CRC-32C of a column's UTF-8 bytes, folded over its hex digits by a table of 16 steps."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0x82F63B78 if k & 1 else 0)
+        table.append(k)
+    steps = F.array(*(F.lit(x).cast("long") for x in table))
+    pairs = F.transform(F.filter(F.split(F.regexp_replace(F.hex(text.cast("string").cast("binary")), "(.)(.)", "$2$1"), ""), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))  # low nibble first
+    last = F.aggregate(pairs, F.lit(0xFFFFFFFF).cast("long"), lambda c, d: F.shiftright(c, 4).bitwiseXOR(F.element_at(steps, (c.bitwiseXOR(d).bitwiseAND(F.lit(15)) + 1).cast("int"))))
+    return last.bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))
+
+
 def fifo_audit(applied: DataFrame, key: list[str], version: str, place: str) -> DataFrame:
     """Applied versions that fall below an earlier one of their key: (key..., applied, reorders)."""
     w = Window.partitionBy(*key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logweave.functions import percentiles
+from logweave.operators.ordering import placed
 
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -16,11 +17,9 @@ def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*(percentiles.nearest_rank(value, p).cast(kind).alias(n) for n, p in at.items()), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 4).alias("mean"), F.count(value).alias("n"))
 
 
-def cdf(rows: DataFrame, value: str, tie: str, *by: str) -> DataFrame:
+def cdf(rows: DataFrame, value: str, tie: str, *by: str, width: int = 1024) -> DataFrame:
     """Empirical distribution (i + 1) / n with a place of its own for each row, ties too."""
-    w = Window.partitionBy(*by).orderBy(value, tie)
-    n = F.count("*").over(Window.partitionBy(*by))
-    return rows.withColumn("share", F.round(F.row_number().over(w) / n, 6))
+    return placed(rows, value, tie, width, *by).withColumn("share", F.round((F.col("place") + 1) / F.col("n"), 6)).drop("place", "n")
 
 
 def tail_breakdown(rows: DataFrame, value: str, stages: list[str], p: float) -> DataFrame:
@@ -33,12 +32,10 @@ def tail_breakdown(rows: DataFrame, value: str, stages: list[str], p: float) ->
     return means.withColumn("dominant", dominant)
 
 
-def steady_rate(rows: DataFrame, order: str, size: str, time: str, *by: str) -> DataFrame:
+def steady_rate(rows: DataFrame, order: str, size: str, time: str, *by: str, width: int = 4096) -> DataFrame:
     """Throughput between the quarter and three quarter points of each group's deliveries, in size per tick."""
-    w = Window.partitionBy(*by).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    i = F.row_number().over(w) - 1
-    mid = rows.withColumn("_in", (i >= F.floor(n / 4)) & (i < F.floor(n * 3 / 4))).where("_in")
+    i, n = F.col("place"), F.col("n")
+    mid = placed(rows, order, order, width, *by).where((i >= F.floor(n / 4)) & (i < F.floor(n * 3 / 4)))
     span = F.max(time) - F.min(time)
     return mid.groupBy(*by).agg(F.sum(size).alias("size"), span.alias("span"), F.when(span > 0, F.round(F.sum(size) / span, 6)).alias("rate"))
 

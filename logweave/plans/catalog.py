@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.plans import delivery_queries, frontier_queries, ordering_queries, trace_queries
+from logweave.plans import delivery_queries, experiment_queries, frontier_queries, ordering_queries, recovery_queries, slot_queries, source_queries, trace_queries
 
-_ALL = {**ordering_queries.QUERIES, **frontier_queries.QUERIES, **trace_queries.QUERIES, **delivery_queries.QUERIES}
+_ALL = {**ordering_queries.QUERIES, **frontier_queries.QUERIES, **trace_queries.QUERIES, **delivery_queries.QUERIES, **slot_queries.QUERIES, **recovery_queries.QUERIES, **experiment_queries.QUERIES, **source_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

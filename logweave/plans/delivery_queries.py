@@ -93,34 +93,18 @@ select client_id, broker_id from (select *, row_number() over (partition by clie
         f"with {_STATE} select key, value from kv_state where substr(key, 2)::bigint % 7 = 0 and substr(key, 2)::bigint < 600",
     ),
     "replica_convergence": (
-        lambda s, d: _replicas(kv_log(s, d).where("total_order < 5000")),
-        f"with {_STATE.replace('from pairs) where', 'from pairs where total_order < 5000) where')}, d as (select count(*)::bigint as keys, (sum(('0x' || substr(md5(key || '=' || value), 1, 15))::bigint::hugeint) % 18446744073709551616::hugeint)::varchar as digest from kv_state) select r as replica, keys, digest from d, range(2) x(r)",
-    ),
-    "replica_convergence_whole": (
         lambda s, d: _replicas(kv_log(s, d)),
         f"with {_STATE}, d as (select count(*)::bigint as keys, (sum(('0x' || substr(md5(key || '=' || value), 1, 15))::bigint::hugeint) % 18446744073709551616::hugeint)::varchar as digest from kv_state) select r as replica, keys, digest from d, range(2) x(r)",
     ),
     "shard_loads": (lambda s, d: batches(s, d).groupBy((F.col("client_id") % 8).alias("shard")).agg(F.count("*").alias("batches"), F.count_distinct("client_id").alias("clients")), f"with {SQL_BATCHES} select client_id % 8 as shard, count(*)::bigint as batches, count(distinct client_id)::bigint as clients from batches group by 1"),
     "ring_order": (
-        lambda s, d: batches(s, d).where("client_id = 1").select("batch_id", F.row_number().over(Window.orderBy(F.pmod(F.col("batch_seq") % 16 - 5, F.lit(16)), "batch_seq")).cast("long").alias("place")),
-        f"with {SQL_BATCHES} select batch_id, row_number() over (order by (batch_seq % 16 - 5 + 16) % 16, batch_seq) as place from batches where client_id = 1",
-    ),
-    "ring_order_whole": (
         lambda s, d: batches(s, d).select("client_id", "batch_id", F.row_number().over(Window.partitionBy("client_id").orderBy(F.pmod(F.col("batch_seq") % 16 - 5, F.lit(16)), "batch_seq")).cast("long").alias("place")),
         f"with {SQL_BATCHES} select client_id, batch_id, row_number() over (partition by client_id order by (batch_seq % 16 - 5 + 16) % 16, batch_seq) as place from batches",
     ),
     "merged_streams": (
-        lambda s, d: ordering.order2(batches(s, d)).select("broker_id", "total_order", "num_msg").orderBy("total_order").limit(200),
-        f"with {SQL_BATCHES}, o as (select broker_id, num_msg, (sum(num_msg) over (order by epoch, broker_id, pbr_index rows unbounded preceding) - num_msg)::bigint as total_order from batches) select broker_id, total_order, num_msg from o order by total_order limit 200",
-    ),
-    "merged_streams_whole": (
         lambda s, d: ordering.order2(batches(s, d)).select(F.col("goi").alias("place"), "broker_id", "total_order", "num_msg").orderBy("place"),
         f"with {SQL_BATCHES} select (row_number() over o - 1)::bigint as place, broker_id, (sum(num_msg) over o - num_msg)::bigint as total_order, num_msg from batches window o as (order by epoch, broker_id, pbr_index rows unbounded preceding)",
     ),
-    "transport_equality": (
-        lambda s, d: ordering.order5(batches(s, d)).select("batch_id", "goi").exceptAll(ordering.order5(batches(s, d).repartition(7, "broker_id")).select("batch_id", "goi")).agg(F.count("*").alias("different")),
-        "select 0::bigint as different",
-    ),
     "lost_batches": (
         lambda s, d: batches(s, d).select("batch_id").join(faulty(s, d).select("batch_id"), "batch_id", "left_anti"),
         f"with {_FIRST} select batch_id from batches where batch_id not in (select batch_id from firsts)",

@@ -145,10 +145,6 @@ select {_S}, prev + 1 as skipped_from, batch_seq - prev - 1 as skipped, release
         f"with {_FENCES} select {_S}, batch_seq, (row_number() over (partition by {_S} order by batch_seq) - 1)::bigint as new_seq, session_epoch + 1 as new_epoch from firsts join fences using ({_S}) where batch_seq >= fence_seq",
     ),
     "recovered_sessions": (
-        lambda s, d: faults.recovered_sessions(_goi(s, d), 500),
-        f"with {_GOI} select {_S}, max(batch_seq) + 1 as next_expected, sum(num_msg)::bigint as messages, max(total_order + num_msg) as next_total_order from goi where goi <= 500 group by {_S}",
-    ),
-    "recovered_sessions_whole": (
         lambda s, d: faults.recovered_committed(_goi(s, d)),
         f"with {_GOI}, c as (select max(goi) as committed from (select goi, row_number() over (order by goi) - 1 as k from goi) where goi = k) select {_S}, max(batch_seq) + 1 as next_expected, sum(num_msg)::bigint as messages, max(total_order + num_msg) as next_total_order from goi, c where goi <= committed group by {_S}",
     ),
@@ -157,8 +153,4 @@ select {_S}, prev + 1 as skipped_from, batch_seq - prev - 1 as skipped, release
         f"""with {_ORDER5}, x as (select batch_id, release, case when batch_id % 7 <> 0 then 1 + batch_id % 2 else 0 end as num_replicated, case when batch_id % 7 <> 0 then arrival + batch_id % 300 else release end as changed from order5)
 select batch_id, release, num_replicated::bigint as num_replicated, changed from x where 9000 - release > 5000 and num_replicated < 2 and 9000 - changed >= 5000""",
     ),
-    "invariants": (
-        lambda s, d: faults.invariants(_goi(s, d), _fences(s, d)),
-        "select unnest(['PerSessionPrefix', 'LateNeverReordered', 'FencedSuffixNeverCommitted', 'NoWrap', 'NoDupCommit', 'DenseOrder', 'DenseMessages']) as invariant, 0::bigint as violations",
-    ),
 }

@@ -83,7 +83,12 @@ _STATS = "quantile_disc({0}, 0.5) as p50, quantile_disc({0}, 0.9) as p90, quanti
 QUERIES = {
     "latency_summary": (lambda s, d: traces.summary(batches(s, d), "latency_us", _B), f"with {SQL_BATCHES} select broker_id, {_STATS.format('latency_us')} from batches group by broker_id"),
     "percentile_definitions": (
-        lambda s, d: batches(s, d).groupBy(_B).agg(percentiles.nearest_rank("latency_us", 0.9).cast("long").alias("nearest"), F.round(percentiles.linear("latency_us", 0.9), 4).alias("linear"), percentiles.floor_index("latency_us", 0.9).alias("floor_index"), percentiles.upper_median("latency_us").alias("upper_median")),
+        lambda s, d: (
+            batches(s, d)
+            .groupBy(_B)
+            .agg(percentiles.nearest_rank("latency_us", 0.9).cast("long").alias("nearest"), F.round(percentiles.linear("latency_us", 0.9), 4).alias("linear"))
+            .join(percentiles.at_index(batches(s, d), "latency_us", _B, floor_index=percentiles.floor_index(0.9), upper_median=percentiles.upper_median), _B)
+        ),
         f"with {SQL_BATCHES} select broker_id, quantile_disc(latency_us, 0.9) as nearest, round(quantile_cont(latency_us, 0.9), 4) as linear, list_sort(list(latency_us))[least(count(*) - 1, floor(0.9 * count(*))::bigint) + 1] as floor_index, list_sort(list(latency_us))[count(*) // 2 + 1] as upper_median from batches group by broker_id",
     ),
     "latency_cdf": (

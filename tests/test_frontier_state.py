@@ -62,8 +62,11 @@ def test_apply_with_delete_and_multi_put(spark):
 
 def test_percentile_definitions(spark):
     rows = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0)], "x double")
-    got = rows.agg(percentiles.nearest_rank("x", 0.5), percentiles.linear("x", 0.5), percentiles.floor_index("x", 0.5), percentiles.upper_median("x")).first()
-    assert tuple(got) == (2.0, 2.5, 3.0, 3.0)
+    got = rows.agg(percentiles.nearest_rank("x", 0.5), percentiles.linear("x", 0.5)).first()
+    assert tuple(got) == (2.0, 2.5)
+    grouped = rows.withColumn("g", F.lit(1)).unionByName(rows.select((F.col("x") * 5000).alias("x"), F.lit(2).alias("g"))).unionByName(rows.where("x = 1").withColumn("g", F.lit(3)))
+    got = percentiles.at_index(grouped, "x", "g", floor=percentiles.floor_index(0.5), middle=percentiles.upper_median).collect()
+    assert {tuple(r) for r in got} == {(1, 3.0, 3.0), (2, 15000.0, 15000.0), (3, 1.0, 1.0)}
 
 
 def test_trial_statistics(spark):

@@ -1,14 +1,9 @@
-"""Queries that do the whole job, beside those that their given SQL cuts."""
+"""Queries over whole tables, against plain Python."""
 
 import os
-import random
 
-import numpy as np
 import pytest
 
-import corpus_pipeline
-from logweave.llm import pieces, repeats
-from logweave.llm.common import tokenizer_path
 from logweave.operators import faults, state
 from logweave.plans import catalog, delivery_queries
 from logweave.sources.derived import batches, kv_log
@@ -18,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def test_merge_holds_every_batch_in_order(spark):
-    got = catalog.queries()["merged_streams_whole"](spark, DATA).collect()
+    got = catalog.queries()["merged_streams"](spark, DATA).collect()
     rows = sorted(batches(spark, DATA).collect(), key=lambda r: (r.epoch, r.broker_id, r.pbr_index))
     want, total = [], 0
     for k, r in enumerate(rows):
@@ -28,7 +23,7 @@ def test_merge_holds_every_batch_in_order(spark):
 
 
 def test_every_client_has_its_ring(spark):
-    got = {(r.client_id, r.batch_id): r.place for r in catalog.queries()["ring_order_whole"](spark, DATA).collect()}
+    got = {(r.client_id, r.batch_id): r.place for r in catalog.queries()["ring_order"](spark, DATA).collect()}
     rings = {}
     for r in batches(spark, DATA).collect():
         rings.setdefault(r.client_id, []).append(((r.batch_seq - 5) % 16, r.batch_seq, r.batch_id))
@@ -52,43 +47,3 @@ def test_recovery_ends_at_the_first_hole(spark):
     assert got(rows) == [(0, 0, 600, 1200, 2398), (1, 0, 600, 1200, 2400)]
     assert got([r for r in rows if r[0] != 700]) == [(0, 0, 350, 700, 1398), (1, 0, 350, 700, 1400)]
     assert got(rows[1:]) == []
-
-
-def test_words_are_parted_as_python_does():
-    text = "a\u00a0bé\u2003\u3000c\x1cd\u1680e\u2028f\u205f g\x85 \u200b中 \n"
-    first, last = repeats.word_bounds(np.frombuffer(text.encode(), np.uint8))
-    assert [text.encode()[a:b].decode() for a, b in zip(first, last, strict=True)] == text.split()
-    assert [len(x) for x in repeats.word_bounds(np.frombuffer(b"", np.uint8))] == [0, 0]
-
-
-def test_repeated_passages_of_short_words_go(spark):
-    rnd = random.Random(3)
-    passage = " ".join(rnd.choice("abcdefgh") for _ in range(51))
-    fewer = " ".join(rnd.choice("ijklmnop") for _ in range(50))
-    rows = [(1, f"one {passage} end"), (2, f"two words {passage}"), (3, f"x1 {fewer} x2"), (4, f"y1 {fewer} y2"), (5, passage[:-1] + "z"), (6, None), (7, passage)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in repeats.without_repeats(docs, corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS).collect()}
-    assert len(passage) == 101
-    assert got == {1: "one  end", 2: "two words ", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: None}
-
-
-def test_tied_segmentations_are_distinct_and_right():
-    model = pieces.pieces_for(tokenizer_path("piece_bpe_32k.model"))
-
-    def paths(into, j):
-        if j == 0:
-            yield 0.0, ()
-        for i, s, ids in into[j] if j else ():
-            for a, p in paths(into, i):
-                yield a + s, p + ids
-
-    for text in ["aaaaaa", "aaaaaa aaaaaa", "aaaaaaa", "abababab", "x aaaaaa b aaaaa"]:
-        full = "".join(model.chunks(text))
-        scores = {np.array(ids, "<u4").tobytes(): round(s, 6) for s, ids in paths(model.edges(full), len(full))}
-        for n in (1, 2, 3, 5):
-            got = model.encode([text], n)[0]
-            assert [scores[ids] for _, ids in got] == [round(s, 6) for s, _ in got] == sorted(scores.values(), reverse=True)[:n]
-            assert len({ids for _, ids in got}) == len(got)
-            floor = round(got[-1][0], 6)
-            assert {i for i, s in scores.items() if s > floor} <= {ids for _, ids in got}
-        assert len({model.encode([text], n)[0][0][1] for n in (1, 2, 3)}) == 1
