@@ -39,25 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.environ.get("LOGWEAVE_SHARED_DIR", "/tmp/checkpoints")
 
 
-def _written(df: DataFrame, name: str) -> str:
+def _written(df: DataFrame, name: str, files: int | None) -> str:
     spark = df.sparkSession
     text = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, path = _located(spark, text)
     fs.deleteOnExit(path)
     try:
-        df.write.options(**_PLAIN_FILES).parquet(text)
+        (df.coalesce(min(files, 1 << 30)) if files else df).write.options(**_PLAIN_FILES).parquet(text)
     except Exception:
         remove(spark, text)
         raise
     return text
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage and survives lost executors.
 
     The table goes when the driver's JVM ends, as it does if the write fails.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, name, files))
 
 
 def _located(spark: SparkSession, text: str):
@@ -72,12 +72,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.cancelDeleteOnExit(path)
 
 
+def files_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Files of a table that is derived from df: one for each so many bytes of df as Spark estimates them, and two for
+    each core at least. Fewer and larger files than shuffle partitions make."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // each))
+
+
 class Scratch:
     """Tables that one operator writes into the shared folder on its way, removed together once its result is written or
-    the operator has failed: `with Scratch(spark) as scratch`."""
+    the operator has failed: `with Scratch(spark) as scratch`. files: how many a table has at most."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, files: int | None = None):
+        self.spark, self.files = spark, files
         self.paths: list[str] = []
 
     def __enter__(self) -> Scratch:
@@ -89,14 +96,9 @@ class Scratch:
         self.release()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(_written(df, name))
+        self.paths.append(_written(df, name, self.files))
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-    def finish(self, result: DataFrame, name: str) -> DataFrame:
-        """Write the result, then remove the tables before it."""
-        with self:
-            return materialize(result, name)
-
     def release(self) -> None:
         """Collect garbage on the driver: shuffle files of plans that nothing refers to go with it."""
         gc.collect()
