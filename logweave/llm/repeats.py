@@ -4,13 +4,15 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
 represented by its anchor, the place of the smallest hash among its `gram`-byte strings (the leftmost on a tie), so
 equal windows have equal anchors at equal offsets. Consecutive windows with one anchor form a unit.
 
-1. Units of equal bytes at equal offsets form a class; a class of two or more is repeated as a whole.
+1. Units of equal bytes at equal offsets form a class; a class of two or more is repeated as a whole. Equal means: one
+   polynomial hash, and of the bytes and offsets one 128-bit digest, which has no structure in common with it.
 2. Where a gram anchors several classes, one unit of each class stands for it; its text is cut out of its document.
    It is cut into slices of offsets, keyed by the hash of what all windows of the slice share, so that only units that
    have most of a window in common meet in a task, however frequent the gram is.
 3. In a task the windows of the units that meet are suffixes. They are sorted by a bottom-up mergesort that compares two
    suffixes by their longest common extension, found by binary search over prefix polynomial hashes; a window is
    repeated if it has the whole length in common with a neighbour of the order. Equal hashes are verified byte by byte.
+   Of a key with more slices than a task takes, narrower slices and at last single windows are classed as in step 1.
 4. The spans of repeated windows are united for each document.
 
 Matches never cross documents; texts are UTF-8 bytes, null as empty. Long documents are read in overlapping pieces that
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, materialize, mix64, packed, utf8
+from logweave.llm.common import Scratch, arrow_map, byte_lists, files_for, materialize, mix64, packed, utf8
 
 GRAM = 32
 #: Windows of a piece of a long document, and offsets of a slice.
@@ -73,6 +75,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def digest(data: bytes, offset: int) -> tuple[int, int]:
+    """128 bits of the bytes and the anchor's place in them, as two signed words."""
+    h = xxhash.xxh3_128_intdigest(data, offset)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
 def units(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(gram hash, class hash, first window, last window, anchor) of each unit of a text."""
     out = []
@@ -162,22 +170,27 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, le
 
 _KEY = [("id", pa.int64()), ("r1", pa.int64())]
 _SPAN = pa.schema([*_KEY, ("s0", pa.int32()), ("s1", pa.int32())])
-_SLICE = pa.schema([("key", pa.int64()), ("c", pa.int64()), *_KEY, ("s0", pa.int32()), ("s1", pa.int32()), ("p", pa.int32()), ("own", pa.bool_()), ("bytes", pa.binary())])
-_SPAN_SQL, _SLICE_SQL = "id long, r1 long, s0 int, s1 int", "key long, c long, id long, r1 long, s0 int, s1 int, p int, own boolean, bytes binary"
+_SLICE = pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), *_KEY, ("s0", pa.int32()), ("s1", pa.int32()), ("p", pa.int32()), ("own", pa.bool_()), ("bytes", pa.binary())])
+_SPAN_SQL, _SLICE_SQL = "id long, r1 long, s0 int, s1 int", "key long, c1 long, c2 long, id long, r1 long, s0 int, s1 int, p int, own boolean, bytes binary"
 
 
 def _runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), *_SPAN, ("p", pa.int32())])
+    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), *_SPAN, ("p", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            found = [(units(t, length, gram), i, r) for t, i, r in zip(byte_lists(batch), batch.column("id").to_pylist(), batch.column("r1").to_pylist(), strict=True) if len(t) >= length]
+            found, sure = [], []
+            for t, i, r in zip(byte_lists(batch), batch.column("id").to_pylist(), batch.column("r1").to_pylist(), strict=True):
+                if len(t) >= length:
+                    found.append((units(t, length, gram), i, r))
+                    sure += [digest(t[a : b + length], q - a) for a, b, q in zip(*(x.tolist() for x in found[-1][0][2:]), strict=True)]
             if found:
                 g, c, s0, s1, p = (np.concatenate(x) for x in zip(*(f for f, _, _ in found), strict=True))
                 many = [len(f[0]) for f, _, _ in found]
-                yield packed({"g": g.view(np.int64), "c": c.view(np.int64), "id": np.repeat([i for _, i, _ in found], many), "r1": np.repeat([r for _, _, r in found], many), "s0": s0, "s1": s1, "p": p}, schema)
+                c1, c2 = np.array(sure, np.int64).reshape(-1, 2).T
+                yield packed({"g": g.view(np.int64), "c": c.view(np.int64), "c1": c1, "c2": c2, "id": np.repeat([i for _, i, _ in found], many), "r1": np.repeat([r for _, _, r in found], many), "s0": s0, "s1": s1, "p": p}, schema)
 
-    return arrow_map(rows.select("id", "r1", "text"), run, f"g long, c long, {_SPAN_SQL}, p int")
+    return arrow_map(rows.select("id", "r1", "text"), run, f"g long, c long, c1 long, c2 long, {_SPAN_SQL}, p int")
 
 
 def _cut(out: dict, data: bytes, base: int, s0: int, s1: int, p: int, length: int, width: int, rest: dict) -> None:
@@ -192,7 +205,8 @@ def _cut(out: dict, data: bytes, base: int, s0: int, s1: int, p: int, length: in
         core = h.of(np.array([low - base]), np.array([high - base])) + np.uint64((k * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         own = data[first - base : last + length - base]
         out["key"].append(int(mix64(core).view(np.int64)[0]))
-        out["c"].append(xxhash.xxh3_64_intdigest(own, seed=p - first) - (1 << 63))
+        for name, word in zip(("c1", "c2"), digest(own, p - first), strict=True):
+            out[name].append(word)
         out["s0"].append(first)
         out["s1"].append(last)
         out["p"].append(p)
@@ -275,39 +289,54 @@ def _sorted_apart(slices: DataFrame, length: int) -> DataFrame:
     return arrow_map(slices.select(*_SLICE.names).repartition("key").sortWithinPartitions("key"), run, _SPAN_SQL)
 
 
+_CLASS = ["key", "c1", "c2"]
+
+
+def _held_by(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is listed. A merge join at every size: Spark splits a frequent key's rows over many tasks."""
+    return rows.join(keys.hint("merge"), on, "left_semi")
+
+
 def _counted_apart(slices: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """Repeated windows among slices of frequent keys, without a group in one task: narrow slices, then single windows,
     are counted by their content with partial sums."""
     narrow = scratch.save(_narrowed(slices, length, 8), "narrow")
-    classes = scratch.save(narrow.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p", "own", "bytes")).alias("u")), "narrow-classes")
-    whole = narrow.where("own").join(classes.where("n > 1").select("key", "c"), ["key", "c"], "left_semi").select(*_SPAN.names)
-    mixed = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("key")
-    left = classes.join(mixed, "key", "left_semi").select("key", "c", "u.id", "u.r1", "u.s0", "u.s1", "u.p", (F.col("u.own") & (F.col("n") == 1)).alias("own"), "u.bytes")
-    single = scratch.save(_narrowed(left, length, 1).drop("bytes"), "windows")
-    again = single.groupBy("key", "c").agg(F.count("*").alias("n")).where("n > 1").select("key", "c")
-    return whole.union(single.where("own").join(again, ["key", "c"], "left_semi").select(*_SPAN.names))
+    classes = scratch.save(narrow.groupBy(*_CLASS).agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p", "own", "bytes")).alias("u")), "classes")
+    again = scratch.save(classes.where("n > 1").select(*_CLASS), "again")
+    whole = _held_by(narrow.where("own"), again, _CLASS).select(*_SPAN.names)
+    mixed = scratch.save(classes.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("key"), "mixed")
+    left = _held_by(classes, mixed, ["key"]).select(*_CLASS, "u.id", "u.r1", "u.s0", "u.s1", "u.p", (F.col("u.own") & (F.col("n") == 1)).alias("own"), "u.bytes")
+    single = scratch.save(_narrowed(left, length, 1).drop("bytes"), "single")
+    again = scratch.save(single.groupBy(*_CLASS).agg(F.count("*").alias("n")).where("n > 1").select(*_CLASS), "again")
+    return whole.union(_held_by(single.where("own"), again, _CLASS).select(*_SPAN.names))
 
 
 def find(docs: DataFrame, length: int = 400, gram: int = GRAM, frequent: int = FREQUENT) -> DataFrame:
-    """(id, r1, s0, s1): runs of windows that are repeated; id is doc_id (the least long for null), r1 the text's hash."""
-    rows, gram, scratch = _keyed(docs), min(gram, max(1, length // 2)), Scratch(docs.sparkSession)
-    runs = scratch.save(_runs(rows, length, gram), "runs")
-    live = runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    runs = scratch.save(runs.join(live, "g"), "live-runs")
-    classes = runs.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p")).alias("u"))
-    classes = scratch.save(classes, "classes")
-    whole = runs.join(classes.where("n > 1").select("g", "c"), ["g", "c"], "left_semi").select(*_SPAN.names)
-    mixed = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("g")
-    listed = classes.join(mixed, "g", "left_semi").select("u.id", "u.r1", F.struct("u.s0", "u.s1", "u.p", "n").alias("x"))
-    listed = scratch.save(listed.groupBy("id", "r1").agg(F.collect_list("x").alias("units")), "units")
-    slices = scratch.save(_slices(rows.join(broadcast_if_small(listed, 200_000), ["id", "r1"]), length, min(SLICE, max(1, length // 4))), "slices")
-    sizes = slices.groupBy("key").agg(F.count("*").alias("k"))
-    met = slices.join(sizes.where(f"k between 2 and {frequent}").select("key"), "key", "left_semi")
-    found = _sorted_apart(met, length)
-    often = scratch.save(sizes.where(f"k > {frequent}").select("key"), "frequent")
-    if not often.isEmpty():
-        found = found.union(_counted_apart(slices.join(broadcast_if_small(often, 100_000), "key", "left_semi"), length, scratch))
-    return scratch.finish(whole.union(found), "spans")
+    """(id, r1, s0, s1): runs of windows that are repeated; id is doc_id (the least long for null), r1 the text's hash.
+
+    What a frequent gram is joined with is written first, so that Spark can split the gram's rows over many tasks.
+    """
+    rows, gram = _keyed(docs), min(gram, max(1, length // 2))
+    files = files_for(rows)
+    with Scratch(docs.sparkSession, files) as scratch:
+        runs = scratch.save(_runs(rows, length, gram), "runs")
+        live = scratch.save(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "live")
+        same = ["g", "c", "c1", "c2"]
+        classes = _held_by(runs, live, ["g"]).groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p")).alias("u"))
+        classes = scratch.save(classes, "classes")
+        again = scratch.save(classes.where("n > 1").select(*same), "again")
+        whole = _held_by(runs, again, same).select(*_SPAN.names)
+        mixed = scratch.save(classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("g"), "mixed")
+        listed = _held_by(classes, mixed, ["g"]).select("u.id", "u.r1", F.struct("u.s0", "u.s1", "u.p", "n").alias("x"))
+        listed = listed.groupBy("id", "r1").agg(F.collect_list("x").alias("units"))  # of a document
+        slices = scratch.save(_slices(rows.join(listed.hint("merge"), ["id", "r1"]), length, min(SLICE, max(1, length // 4))), "slices")
+        sizes = scratch.save(slices.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+        met = _held_by(slices, sizes.where(f"k <= {frequent}").select("key"), ["key"])
+        found = _sorted_apart(met, length)
+        often = sizes.where(f"k > {frequent}").select("key")
+        if not often.isEmpty():
+            found = found.union(_counted_apart(_held_by(slices, often, ["key"]), length, scratch))
+        return materialize(whole.union(found), "spans", files)
 
 
 _ASCII_SPACE = np.zeros(256, bool)
@@ -356,10 +385,11 @@ def find_passages(docs: DataFrame, words: int, length: int) -> DataFrame:
                     out = {f.name: [] for f in schema}
             yield packed(out, schema)
 
-    scratch = Scratch(docs.sparkSession)
-    runs = scratch.save(arrow_map(_keyed(docs).select("id", "r1", "text"), run, f"h1 long, h2 long, {_SPAN_SQL}"), "passages")
-    again = runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return scratch.finish(runs.join(again, ["h1", "h2"], "left_semi").select(*_SPAN.names), "passage-spans")
+    files = files_for(docs.select("text"))
+    with Scratch(docs.sparkSession, files) as scratch:
+        runs = scratch.save(arrow_map(_keyed(docs).select("id", "r1", "text"), run, f"h1 long, h2 long, {_SPAN_SQL}"), "runs")
+        again = scratch.save(runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
+        return materialize(_held_by(runs, again, ["h1", "h2"]).select(*_SPAN.names), "passage-spans", files)
 
 
 def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -373,9 +403,9 @@ def _marked(docs: DataFrame, length: int, keep: list[str], words: int | None = N
     if words:
         spans = spans.union(find_passages(docs, words, length))
     spans = spans.groupBy("id", "r1").agg(F.collect_list(F.struct("s0", "s1")).alias("spans"))
-    spans = materialize(spans, "spans")
+    spans = materialize(spans, "spans", files_for(docs.select("text")))
     rows = docs.select(*(F.col(f"`{c}`").alias(f"keep_{c}") for c in keep), "doc_id", "text")
-    return _keyed(rows, *(f"keep_{c}" for c in keep)).join(broadcast_if_small(spans, 200_000), ["id", "r1"], "left")
+    return _keyed(rows, *(f"keep_{c}" for c in keep)).join(spans.hint("merge"), ["id", "r1"], "left")
 
 
 def cut_out(text: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
