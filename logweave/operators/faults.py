@@ -52,6 +52,29 @@ def range_skips(batches: DataFrame) -> DataFrame:
     return seen.where(F.col("batch_seq") > F.col("prev") + 1).select(*SESSION, (F.col("prev") + 1).alias("skipped_from"), (F.col("batch_seq") - F.col("prev") - 1).alias("skipped"), "release")
 
 
+def session_pressure(batches: DataFrame, lease: int) -> DataFrame:
+    """Pressure counters of each session in one pass over it: expiries (its fence, if a gap outlasts the lease), holds
+    (committed batches that waited), skips (numbers missing), late (further copies) and depth (greatest number)."""
+    first = batches.groupBy(*SESSION, "batch_seq").agg(F.min("arrival").alias("arrival"), F.count("*").alias("_c"))
+    w = Window.partitionBy(*SESSION).orderBy("batch_seq")
+    seen = first.withColumns(
+        {
+            "_prev": F.coalesce(F.lag("batch_seq").over(w), F.lit(-1)),
+            "_n": F.row_number().over(w) - 1,
+            "_release": F.max("arrival").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_before": F.max("arrival").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "_next": F.min("arrival").over(w.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    )
+    lost = F.col("_prev") + 1 < F.col("batch_seq")
+    over = F.coalesce((F.col("_next") < F.col("arrival")) & (F.col("arrival") > F.greatest("_before", "_next") + lease), F.lit(False))
+    fenced = (lost | over) & (F.col("session_epoch") != 0)
+    held = (F.col("_n") == F.col("batch_seq")) & (F.col("_release") > F.col("arrival"))
+    return seen.groupBy(*SESSION).agg(
+        F.max(fenced.cast("long")).alias("expiries"), F.sum(held.cast("long")).alias("holds"), F.sum(F.col("batch_seq") - F.col("_prev") - 1).alias("skips"), F.sum(F.col("_c") - 1).alias("late"), F.max("batch_seq").alias("depth"),
+    )
+
+
 def stale_epochs(batches: DataFrame, current: int, most: int = 2000) -> DataFrame:
     """Batches that a control epoch makes stale: the wrap-aware age in 16 bits is above the bound."""
     return batches.withColumn("age", F.pmod(F.lit(current) - F.col("epoch_created"), F.lit(65536))).where(F.col("age") > most)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from logweave.operators.ordering import SESSION, contiguous, first_copies, numbered, release
+from logweave.operators.ordering import SESSION, contiguous, first_copies, numbered, prefix_sums, release
 
 #: Bits of a slot's flags. Fixed values of the layout.
 CLAIMED, VALID, RETIRED = 1, 2, 4
@@ -182,3 +182,59 @@ def stream_release(batches: DataFrame, timeout: int) -> DataFrame:
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*key, "stream_seq", "arrival", "batch_id")]
     copies = batches.alias("x").join(first.alias("y"), same, "left_anti").withColumns({"release": F.col("arrival"), "late": F.lit(True)})
     return done.unionByName(copies.select(*done.columns))
+
+
+def with_broker_counts(committed: DataFrame) -> DataFrame:
+    """A commit's per-broker cumulative messages: what each broker has committed before each batch."""
+    return prefix_sums(committed, "commit_epoch", [*SESSION, "batch_seq"], {"broker_messages": "num_msg"}, ("broker_id",))
+
+
+def bypassed_order(batches: DataFrame, fences: DataFrame) -> DataFrame:
+    """The order of a sequencer that holds nothing back but still drops copies and fenced suffixes: epochs, brokers, slots."""
+    rows = first_copies(batches).join(fences.select(*SESSION, "fence_seq"), SESSION, "left")
+    return numbered(rows.where("fence_seq is null or batch_seq < fence_seq").drop("fence_seq"), "epoch", ["broker_id", "pbr_index", "batch_id"])
+
+
+def single_order(batches: DataFrame) -> DataFrame:
+    """The order of a sequencer that takes batches one by one as they are released, without epochs."""
+    return numbered(release(batches), "release", [*SESSION, "batch_seq"])
+
+
+def overflowing_clients(batches: DataFrame, most: int) -> DataFrame:
+    """(epoch, backlog, client_id, oldest): epochs at whose end more than `most` batches wait, with the client whose batch
+    has waited longest, which is skipped. A batch counts in each epoch of its wait."""
+    done = release(batches).select(*SESSION, "batch_seq", "commit_epoch")
+    rows = first_copies(batches).join(done, [*SESSION, "batch_seq"]).where("commit_epoch > epoch")
+    waits = rows.select("client_id", "arrival", F.explode(F.sequence(F.col("epoch"), F.col("commit_epoch") - 1)).alias("epoch"))
+    by = waits.groupBy("epoch").agg(F.count("*").alias("backlog"), F.min(F.struct("arrival", "client_id")).alias("_o"))
+    return by.where(F.col("backlog") > most).select("epoch", "backlog", "_o.client_id", F.col("_o.arrival").alias("oldest"))
+
+
+def overdue(ledger: DataFrame, now: int, timeout: int) -> DataFrame:
+    """What a client sends again: of each session only the first batch that no acknowledgement retired, once it is overdue."""
+    return ledger.where(F.col("resend") & (F.lit(now) - F.col("arrival") > timeout)).withColumn("late_by", F.lit(now) - F.col("arrival") - timeout)
+
+
+def replayed_slots(writes: DataFrame) -> DataFrame:
+    """(broker_id, slot, state, batch_id) after a replay of a write-once log: writes(broker_id, slot, arrival, batch_id, whole).
+
+    A truncated record ends a broker's replay; what was written after it is lost. Of what is read the first write of a
+    slot counts, and slots below the last one that nothing wrote are junk.
+    """
+    cut = writes.groupBy("broker_id").agg(F.min(F.when(~F.col("whole"), F.col("arrival"))).alias("_cut"))
+    read = writes.join(cut, "broker_id").where("_cut is null or arrival < _cut")
+    first = read.groupBy("broker_id", "slot").agg(F.min(F.struct("arrival", "batch_id")).alias("_f"))
+    last = first.groupBy("broker_id", F.expr("slot div 4096").alias("_r")).agg(F.max("slot").alias("_m"))
+    top = last.groupBy("broker_id").agg(F.max("_m").alias("_m"))
+    ranges = top.select("broker_id", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("_m div 4096"))).alias("_r"))
+    every = ranges.select("broker_id", F.explode(F.sequence(F.col("_r") * 4096, F.least(F.col("_m"), F.col("_r") * 4096 + 4095))).alias("slot"))
+    found = every.join(first, ["broker_id", "slot"], "left")
+    return found.select("broker_id", "slot", F.when(F.col("_f").isNull(), "JUNK").otherwise("WRITTEN").alias("state"), F.col("_f.batch_id").alias("batch_id"))
+
+
+def delivered_audit(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """One row of verdicts on a delivered log (client_id, total_order, num_msg, batch_seq): frames of an impossible size,
+    rows given twice, numbers given to several batches, and messages missing between the first and the last."""
+    by = rows.groupBy("total_order").agg(F.count("*").alias("_n"), F.count_distinct("client_id", "batch_seq").alias("_u"), F.max("num_msg").alias("_m"), F.sum((~F.col("num_msg").between(1, most)).cast("long")).alias("_i"))
+    sums = by.agg(F.sum("_i").alias("invalid"), F.sum(F.col("_n") - F.col("_u")).alias("given_twice"), F.sum((F.col("_u") > 1).cast("long")).alias("contested"), (F.max(F.col("total_order") + F.col("_m")) - F.min("total_order") - F.sum("_m")).alias("missing"))
+    return sums.select(*(F.col(c).cast("long").alias(c) for c in ("invalid", "given_twice", "contested", "missing")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.operators import faults, ordering, slots
+from logweave.operators import delivery, faults, ordering, slots
 from logweave.plans.ordering_queries import LEASE, _FENCES, _ORDER5, _PREFIX, _S
 from logweave.sources.derived import SQL_BATCHES, SQL_FAULTY, batches, faulty
 
@@ -57,6 +57,20 @@ def _streams(s, d):
     return kept.unionByName(again)
 
 
+def _delivered(s, d):
+    """A delivered log with faults: lost batches, some given twice, some under another client's number, empty frames."""
+    rows = ordering.order2(batches(s, d)).select("client_id", "total_order", F.when(F.col("batch_id") % 907 == 5, 0).otherwise(F.col("num_msg")).cast("long").alias("num_msg"), "batch_seq", "batch_id")
+    kept = rows.where("batch_id % 211 <> 9")
+    return kept.unionByName(kept.where("batch_id % 101 = 3")).unionByName(kept.where("batch_id % 503 = 4").withColumn("client_id", F.col("client_id") + 1))
+
+
+_DELIVERED = (
+    SQL_BATCHES
+    + """, o as (select client_id, batch_seq, batch_id, (sum(num_msg) over (order by epoch, broker_id, pbr_index rows unbounded preceding) - num_msg)::bigint as total_order, case when batch_id % 907 = 5 then 0 else num_msg end as num_msg from batches),
+k as (select * from o where batch_id % 211 <> 9), given as (select * from k union all select * from k where batch_id % 101 = 3 union all select * replace (client_id + 1 as client_id) from k where batch_id % 503 = 4)"""
+)
+
+
 QUERIES = {
     "published_slots": (
         lambda s, d: _slots(s, d).where(slots.published()).groupBy("broker_id").agg(F.count("*").alias("slots"), F.sum("num_msg").alias("messages"), F.max("pbr_index").alias("last")),
@@ -144,4 +158,46 @@ g as (select {_S}, broker_id, i, stream_seq, nxt is not null and arrival > great
 select f.batch_id, f.broker_id, f.stream_seq, f.arrival, case when g.late then f.arrival else g.tick end as release, g.late from f join g using ({_S}, broker_id, i)
 union all select batch_id, broker_id, stream_seq, arrival + 5000, arrival + 5000, true from k where batch_id % 31 = 0""",
     ),
+    "broker_cumulative": (
+        lambda s, d: slots.with_broker_counts(ordering.release(batches(s, d))).select("batch_id", "broker_id", "commit_epoch", "broker_messages"),
+        f"with {_ORDER5} select batch_id, broker_id, commit_epoch, (sum(num_msg) over (partition by broker_id order by commit_epoch, client_id, session_epoch, batch_seq rows unbounded preceding) - num_msg)::bigint as broker_messages from order5",
+    ),
+    "fifo_bypass": (
+        lambda s, d: slots.bypassed_order(faulty(s, d), faults.session_fences(faulty(s, d), LEASE)).select("batch_id", "epoch", "goi", "total_order"),
+        f"""with {_FENCES}, b as (select f.* from firsts f left join fences using ({_S}) where fence_seq is null or batch_seq < fence_seq)
+select batch_id, epoch, (row_number() over w - 1)::bigint as goi, (sum(num_msg) over w - num_msg)::bigint as total_order from b window w as (order by epoch, broker_id, pbr_index, batch_id rows unbounded preceding)""",
+    ),
+    "single_sequencer": (
+        lambda s, d: (
+            slots.single_order(batches(s, d))
+            .select("batch_id", F.col("total_order").alias("single"))
+            .join(ordering.order5(batches(s, d)).select("batch_id", "commit_epoch", "total_order"), "batch_id")
+            .groupBy("commit_epoch")
+            .agg(F.count("*").alias("batches"), F.sum((F.col("single") != F.col("total_order")).cast("long")).alias("moved"), F.max(F.abs(F.col("single") - F.col("total_order"))).alias("furthest"))
+        ),
+        f"""with {_ORDER5}, x as (select *, (sum(num_msg) over (order by release, client_id, session_epoch, batch_seq rows unbounded preceding) - num_msg)::bigint as single from order5)
+select commit_epoch, count(*)::bigint as batches, sum((single <> total_order)::int)::bigint as moved, max(abs(single - total_order)) as furthest from x group by commit_epoch""",
+    ),
+    "overflowing_clients": (
+        lambda s, d: slots.overflowing_clients(faulty(s, d), 12),
+        f"""with {_PREFIX}, w as (select client_id, arrival, unnest(range(epoch, commit_epoch)) as epoch from prefix where commit_epoch > epoch)
+select epoch, count(*)::bigint as backlog, arg_min(client_id, (arrival, client_id)) as client_id, min(arrival) as oldest from w group by epoch having count(*) > 12""",
+    ),
+    "overdue_resends": (
+        lambda s, d: slots.overdue(delivery.ledger(batches(s, d), batches(s, d).groupBy("client_id", "session_epoch").agg((F.sum("num_msg") - F.col("client_id") % 40).alias("acked"))), 10_500, 300).select("client_id", "session_epoch", "batch_seq", "late_by"),
+        f"""with {SQL_BATCHES}, a as (select {_S}, sum(num_msg) - client_id % 40 as acked from batches group by {_S}), e as (select {_S}, batch_seq, arrival, sum(num_msg) over (partition by {_S} order by batch_seq) as e from batches),
+r as (select {_S}, min(batch_seq) as batch_seq, arg_min(arrival, batch_seq) as arrival from e join a using ({_S}) where e > acked group by {_S}) select {_S}, batch_seq, 10500 - arrival - 300 as late_by from r where 10500 - arrival > 300""",
+    ),
+    "replayed_slots": (
+        lambda s, d: slots.replayed_slots(batches(s, d).where("batch_id % 61 <> 7").select("broker_id", F.expr("pbr_index div 2").alias("slot"), "arrival", "batch_id", ((F.col("broker_id") != 2) | (F.col("batch_id") % 5000 != 3502)).alias("whole"))),
+        f"""with {SQL_BATCHES}, w as (select broker_id, pbr_index // 2 as slot, arrival, batch_id, broker_id <> 2 or batch_id % 5000 <> 3502 as whole from batches where batch_id % 61 <> 7),
+c as (select broker_id, min(arrival) filter (not whole) as cut from w group by broker_id), r as (select w.* from w join c using (broker_id) where cut is null or arrival < cut),
+f as (select broker_id, slot, arg_min(batch_id, (arrival, batch_id)) as batch_id from r group by all), e as (select broker_id, unnest(range(0, m + 1)) as slot from (select broker_id, max(slot) as m from f group by broker_id))
+select broker_id, slot, case when batch_id is null then 'JUNK' else 'WRITTEN' end as state, batch_id from e left join f using (broker_id, slot)""",
+    ),
+    "delivered_audit": (
+        lambda s, d: slots.delivered_audit(_delivered(s, d)),
+        f"""with {_DELIVERED}, g as (select total_order, count(*) as n, count(distinct (client_id, batch_seq)) as u, max(num_msg) as m, sum((num_msg not between 1 and 10000)::int) as i from given group by total_order)
+select sum(i)::bigint as invalid, sum(n - u)::bigint as given_twice, sum((u > 1)::int)::bigint as contested, (max(total_order + m) - min(total_order) - sum(m))::bigint as missing from g""",
+    ),
 }

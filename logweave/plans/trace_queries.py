@@ -41,15 +41,8 @@ def _gap_marks(s, d):
 
 def _pressure(s, d):
     """Pressure counters of each client over the faulty log."""
-    log = faulty(s, d)
-    first = ordering.first_copies(log)
-    done = ordering.release(log).groupBy("client_id").agg(F.sum((F.col("release") > F.col("arrival")).cast("long")).alias("holds"))
-    skips = faults.range_skips(log).groupBy("client_id").agg(F.sum("skipped").alias("skips"))
-    fences = faults.session_fences(log, LEASE).groupBy("client_id").agg(F.count("*").alias("expiries"))
-    late = log.groupBy("client_id").agg((F.count("*") - F.count_distinct("batch_seq")).alias("late"))
-    depth = first.groupBy("client_id").agg(F.max("batch_seq").alias("depth"))
-    out = depth.join(late, "client_id").join(done, "client_id", "left").join(skips, "client_id", "left").join(fences, "client_id", "left")
-    return out.na.fill(0).select("client_id", "expiries", "holds", "skips", "late", "depth")
+    by = faults.session_pressure(faulty(s, d), LEASE).groupBy("client_id")
+    return by.agg(*(F.sum(c).alias(c) for c in ("expiries", "holds", "skips", "late")), F.max("depth").alias("depth"))
 
 
 def _audits(s, d):
