@@ -72,7 +72,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
         fs.cancelDeleteOnExit(path)
 
 
-def files_for(df: DataFrame, each: int = 32 << 20) -> int:
+def files_for(df: DataFrame, each: int = 16 << 20) -> int:
     """Files of a table that is derived from df: one for each so many bytes of df as Spark estimates them, and two for
     each core at least. Fewer and larger files than shuffle partitions make."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -117,6 +117,17 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_REMEMBERING: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, forget: Callable[[], None]) -> None:
+    """Say that this operator remembers things between batches and how it forgets them. A worker serves one operator after
+    the other; what the others remember goes."""
+    for other in [n for n in _REMEMBERING if n != name]:
+        _REMEMBERING.pop(other)()
+    _REMEMBERING[name] = forget
+
+
 def utf8(column: str = "text") -> Column:
     """The column's UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")

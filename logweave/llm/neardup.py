@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, files_for, materialize, mix64, packed, utf8
+from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, files_for, materialize, mix64, packed, sole_memory, utf8
 
 K = 64
 #: A value in more sketches than this stands by its count, for at most so many of the most frequent values (24 bytes each
@@ -104,6 +104,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
+        sole_memory("shingles", _HASHES.clear)
         for batch in batches:
             sets = [shingle_set(t, size) for t in byte_lists(batch)]
             yield packed({
@@ -271,13 +272,17 @@ def _classes(sketched: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
 
 
 def _lists(nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(v, node, n, common): the inverted lists of two members or more."""
+    """(v, node, n, common): the inverted lists of two members or more.
+
+    Here and below, what is found for each list is written before it is joined with the lists: both sides of the join are
+    then plain shuffles, and Spark can split a list that holds a third of all rows over many tasks.
+    """
     counted = _exploded(nodes, k, percent, None).groupBy("v").count().where(F.col("count") > FREQUENT)
     top = counted.orderBy(F.desc("count"), "v").limit(MOST_FREQUENT).toPandas()
     values, counts = top["v"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(values)
     listed = _exploded(nodes, k, percent, (values[order], counts[order]))
-    shared = listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    shared = scratch.save(listed.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "shared")
     return scratch.save(listed.join(shared, "v"), "table")
 
 
@@ -285,11 +290,11 @@ def _near(percent: int):
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b"))
 
 
-def _with_pivots(member: DataFrame, turn: int, percent: int) -> DataFrame:
+def _with_pivots(member: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): every member of a list with the list's pivot of this turn, unless they are in one component."""
     lead = F.lit(0) if turn else -F.col("common")
     order = F.struct(lead.alias("l"), F.xxhash64("b", F.lit(turn)).alias("o"), F.col("b").alias("a"), F.col("nb").alias("na"), F.col("root").alias("ra"))
-    pivot = member.groupBy("v").agg(F.min(order).alias("p")).select("v", "p.a", "p.na", "p.ra")
+    pivot = scratch.save(member.groupBy("v").agg(F.min(order).alias("p")).select("v", "p.a", "p.na", "p.ra"), "pivots")
     return member.join(pivot, "v").where(_near(percent) & (F.col("ra") != F.col("root"))).select("a", "b").distinct()
 
 
@@ -309,8 +314,8 @@ def _between_components(member: DataFrame, classes: DataFrame, texts: DataFrame,
     into = held.groupBy("b").agg(F.collect_set("v").alias("vb"))  # at most a sketch's values
     held = scratch.save(held.join(into, "b").join(bits, "b"), "held")
     sizes = held.groupBy("v", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("v").agg(F.max(F.struct("c", "root")).alias("l")).select("v", F.col("l.root").alias("largest"))
-    outside = held.join(largest, "v").where("root <> largest")
+    largest = scratch.save(sizes.groupBy("v").agg(F.max(F.struct("c", "root")).alias("l")).select("v", F.col("l.root").alias("largest")), "largest")
+    outside = scratch.save(held.join(largest, "v").where("root <> largest"), "outside")
     other = outside.select("v", "largest", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ob").alias("oa"), F.col("root").alias("ra"), F.col("vb").alias("va"), *(F.col(f"q{j}").alias(f"p{j}") for j in range(BITS // 64)))
     once = (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("largest")) | (F.col("a") < F.col("b")))
     most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))  # of the overlap
@@ -339,12 +344,13 @@ def _linked(docs: DataFrame, size: int, percent: int, k: int, scratch: Scratch)
         else:
             member = member.join(root.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
             open_ = member.groupBy("v").agg(F.min("root").alias("_l"), F.max("root").alias("_h"), F.count("*").alias("size")).where("_l <> _h").select("v", "size")
+            open_ = scratch.save(open_, "open-lists")
             member = scratch.save(member.join(open_, "v"), "member")
             rows, meetings = member.agg(F.count("*"), F.coalesce(F.sum(F.col("size").cast("double")), F.lit(0.0))).first()
             if not rows:
                 break
             last = turn >= PIVOT_ROUNDS and (meetings <= ROOM * rows or turn >= MOST_ROUNDS or none_new)
-        pairs = _between_components(member, classes, of_node, size, percent, scratch) if last else _with_pivots(member, turn, percent)
+        pairs = _between_components(member, classes, of_node, size, percent, scratch) if last else _with_pivots(member, turn, percent, scratch)
         if tried is not None:
             swapped = tried.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(tried.union(swapped), ["a", "b"], "left_anti")
