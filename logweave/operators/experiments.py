@@ -169,3 +169,42 @@ def paired_seals(pairs: DataFrame, seals: DataFrame, width: int) -> DataFrame:
     by = near.groupBy("key", "n").agg(F.count("*").alias("seals"), F.min("seal").alias("_a"), F.max("seal").alias("_z"))
     out = pairs.join(by, ["key", "n"], "left")
     return out.select("key", "n", "start", "stop", F.coalesce("seals", F.lit(0)).cast("long").alias("seals"), F.when(F.col("seals") > 1, F.round((F.col("_z") - F.col("_a")) / (F.col("seals") - 1), 4)).alias("interval"))
+
+
+def gate(rows: DataFrame, trials: int, *by: str) -> DataFrame:
+    """Whether a group's trials are all there and all valid."""
+    return rows.groupBy(*by).agg(F.count("*").alias("trials"), (F.count("*") == trials).alias("complete"), (F.bool_and("valid") & (F.count("*") == trials)).alias("passed"))
+
+
+def around_events(series: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
+    """(key, at, before, after, change) of series(key, tick, rate) round events(key, at): mean rates on both sides and what
+    is left of the rate. Ticks without any rate before an event give no change."""
+    rows = series.join(F.broadcast(events), "key").where((F.col("tick") >= F.col("at") - before) & (F.col("tick") < F.col("at") + after))  # a row for each event
+    early = F.col("tick") < F.col("at")
+    by = rows.groupBy("key", "at").agg(F.avg(F.when(early, F.col("rate"))).alias("a"), F.avg(F.when(~early, F.col("rate"))).alias("b"))
+    return by.select("key", "at", F.round("a", 4).alias("before"), F.round("b", 4).alias("after"), F.round(F.when(F.col("a") > 0, F.col("b") / F.col("a")), 6).alias("change"))
+
+
+def latency_table(rows: DataFrame, value: str, base: Column, *by: str) -> DataFrame:
+    """Median and deviation over trials of each trial's p50 and p99, and the medians' change against the base cell of the
+    same load: rows(system, load, trial, value)."""
+    kind = rows.schema[value].dataType
+    trial = rows.groupBy(*by, "load", "trial").agg(percentiles.nearest_rank(value, 0.5).cast(kind).alias("p50"), percentiles.nearest_rank(value, 0.99).cast(kind).alias("p99"))
+    sd = lambda c: F.round(F.when(F.count(c) > 1, F.stddev_samp(c)).otherwise(0.0), 4)
+    cell = trial.groupBy(*by, "load").agg(F.round(F.median("p50"), 4).alias("p50"), sd("p50").alias("p50_sd"), F.round(F.median("p99"), 4).alias("p99"), sd("p99").alias("p99_sd"), F.count("*").alias("trials"))
+    w = Window.partitionBy("load")
+    return cell.withColumns({f"{c}_change": F.round(100 * (F.col(c) / F.max(F.when(base, F.col(c))).over(w) - 1), 4) for c in ("p50", "p99")})
+
+
+def slots_let_go(held: DataFrame, released: DataFrame) -> DataFrame:
+    """Held slots (broker_id, slot, pbr_index) with `let_go`: the release of that very slot and lap is there."""
+    there = released.select("broker_id", "slot", "pbr_index", F.lit(True).alias("_r")).distinct()
+    return held.join(there, ["broker_id", "slot", "pbr_index"], "left").withColumn("let_go", F.coalesce("_r", F.lit(False))).drop("_r")
+
+
+def late_policies(classes: DataFrame, *by: str) -> DataFrame:
+    """What late batches come to under each contract: dropped and credited (client chains), emitted and counted as a
+    violation (streams), rejected (the specification)."""
+    late = F.col("kind") == "late"
+    n = F.sum(late.cast("long"))
+    return classes.groupBy(*by).agg(n.alias("dropped"), F.sum(F.when(late, F.col("num_msg")).otherwise(0)).alias("credited"), n.alias("emitted"), n.alias("rejected"), F.sum((F.col("kind") == "held").cast("long")).alias("held"))

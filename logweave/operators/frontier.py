@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 
 def policy_error(ack: Column, factor: Column, order: Column, sequencer: Column) -> Column:
-    """Null for a valid (ack, replication factor, order, sequencer), else what is wrong with it."""
+    """Null for a valid (ack, replication factor, order, sequencer), else what is wrong with it. The first three texts are
+    fixed values that clients compare."""
+    said = lambda text, value: F.concat(F.lit(text), value.cast("string"), F.lit(")"))
     return (
-        F.when((ack < 0) | (ack > 2), "ack level must be 0, 1 or 2")
-        .when(factor < 0, "replication factor must not be negative")
-        .when((ack == 2) & (factor < 2), "ack level 2 needs a replication factor of 2 or more")
+        F.when((ack < 0) | (ack > 2), said("ack_level must be 0, 1, or 2 (got ", ack))
+        .when(factor < 0, said("replication_factor must be >= 0 (got ", factor))
+        .when((ack == 2) & (factor < 2), said("ACK level 2 requires replication_factor>=2 (RF includes the CXL primary; got replication_factor=", factor))
         .when(sequencer.isin("CORFU", "LAZYLOG") & (order != 2), "sequencer needs order 2")
         .when((sequencer == "SCALOG") & (order != 1), "sequencer needs order 1")
     )

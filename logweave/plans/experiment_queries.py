@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from logweave.functions import percentiles
 from logweave.operators import experiments as x
-from logweave.operators import faults, frontier, ordering, traces
-from logweave.plans.ordering_queries import _FENCES, _ORDER5, _S
+from logweave.operators import faults, frontier, ordering, slots, traces
+from logweave.plans.ordering_queries import LEASE, _FENCES, _ORDER5, _S
 from logweave.plans.trace_queries import _SQL_SERIES, _SQL_STAGES, _SQL_TRIALS, _series, _stages, _trials
 from logweave.sources.derived import SQL_BATCHES, batches, events, faulty
 
@@ -234,4 +234,62 @@ case when coalesce(layout, '') like '%beside-log%' and clients >= 2 then case wh
         lambda s, d: percentiles.at_index(batches(s, d), "latency_us", _B, p50=percentiles.floor_index(0.5), p99=percentiles.floor_index(0.99), median=percentiles.upper_median),
         f"with {SQL_BATCHES}, l as (select broker_id, list_sort(list(latency_us)) as v from batches group by broker_id) select broker_id, v[least(len(v) - 1, floor(0.5 * len(v))::bigint) + 1] as p50, v[least(len(v) - 1, floor(0.99 * len(v))::bigint) + 1] as p99, v[len(v) // 2 + 1] as median from l",
     ),
+    "isolation_gate": (
+        lambda s, d: x.gate(_commits(s, d).groupBy("trial").agg((F.max("wall") > 9000).alias("valid")).withColumn("suite", F.col("trial") % 2), 2, "suite"),
+        f"with {_ORDER5}, t as (select session_epoch as trial, max(release) > 9000 as valid from order5 group by 1) select trial % 2 as suite, count(*)::bigint as trials, count(*) = 2 as complete, bool_and(valid) and count(*) = 2 as passed from t group by 1",
+    ),
+    "failure_realtime": (
+        lambda s, d: x.around_events(_rates(s, d), _kills(s, d).withColumnRenamed("kill", "at"), 12, 8),
+        f"""with {_SQL_RATES}, r as (select r.key, kill, avg(rate) filter (tick < kill) as a, avg(rate) filter (tick >= kill) as b from rates r join kills k using (key) where tick >= kill - 12 and tick < kill + 8 group by all)
+select key, kill as "at", round(a, 4) as before, round(b, 4) as after, round(case when a > 0 then b / a end, 6) as change from r""",
+    ),
+    "latency_tables": (
+        lambda s, d: x.latency_table(batches(s, d).select(_B, F.col("num_msg").alias("load"), (F.col("batch_id") % 3).alias("trial"), "latency_us"), "latency_us", F.col(_B) == 0, _B),
+        f"""with {SQL_BATCHES}, t as (select broker_id, num_msg as load, batch_id % 3 as trial, quantile_disc(latency_us, 0.5) as p50, quantile_disc(latency_us, 0.99) as p99 from batches group by all),
+c as (select broker_id, load, round(median(p50), 4) as p50, round(case when count(*) > 1 then stddev_samp(p50) else 0 end, 4) as p50_sd, round(median(p99), 4) as p99, round(case when count(*) > 1 then stddev_samp(p99) else 0 end, 4) as p99_sd, count(*)::bigint as trials from t group by all)
+select c.*, round(100 * (c.p50 / b.p50 - 1), 4) as p50_change, round(100 * (c.p99 / b.p99 - 1), 4) as p99_change from c join c b on b.load = c.load and b.broker_id = 0""",
+    ),
+    "failure_layers": (
+        lambda s, d: traces.longest_stall(
+            ordering.release(batches(s, d))
+            .where("not (commit_epoch between 40 and 49 and client_id % 3 = 1)")
+            .select((F.col("client_id") % 3).alias("c"), F.explode(F.array(F.struct(F.lit("sent").alias("layer"), F.col("epoch").alias("tick")), F.struct(F.lit("committed").alias("layer"), F.col("commit_epoch").alias("tick")), F.struct(F.lit("applied").alias("layer"), (F.col("commit_epoch") + 1).alias("tick")))).alias("l"), "num_msg")
+            .groupBy(F.concat("l.layer", F.lit("-"), F.col("c").cast("string")).alias("series"), F.col("l.tick").alias("tick"))
+            .agg(F.sum("num_msg").alias("n"))
+            .select("series", "tick", F.sum("n").over(Window.partitionBy("series").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+            .where("tick % 2 = 0 or n > 3"),
+            "series",
+        ),
+        f"""with {_ORDER5}, r as (select * from order5 where not (commit_epoch between 40 and 49 and client_id % 3 = 1)),
+l as (select 'sent-' || client_id % 3 as series, epoch as tick, num_msg from r union all select 'committed-' || client_id % 3, commit_epoch, num_msg from r union all select 'applied-' || client_id % 3, commit_epoch + 1, num_msg from r),
+n as (select series, tick, sum(num_msg) as n, sum(sum(num_msg)) over (partition by series order by tick) as cum from l group by series, tick), c as (select * from n where tick % 2 = 0 or n > 3),
+m as (select *, coalesce((cum > lag(cum) over (partition by series order by tick))::int, 1) as m from c), q as (select *, sum(m) over (partition by series order by tick) as q from m),
+g as (select series, q, min(tick) as since, max(tick) - min(tick) as length from q group by series, q) select series, length, since from (select *, row_number() over (partition by series order by length desc, since) as k from g) where k = 1""",
+    ),
+    "held_slots_let_go": (
+        lambda s, d: x.slots_let_go(
+            ordering.release(batches(s, d)).where("commit_epoch > epoch").select("broker_id", (F.col("pbr_index") % 1024).alias("slot"), "pbr_index", "batch_id"),
+            ordering.release(batches(s, d)).where("commit_epoch <= 60").select("broker_id", (F.col("pbr_index") % 1024).alias("slot"), "pbr_index"),
+        ).select("broker_id", "slot", "batch_id", "let_go"),
+        f"with {_ORDER5} select broker_id, pbr_index % 1024 as slot, batch_id, commit_epoch <= 60 as let_go from order5 where commit_epoch > epoch",
+    ),
+    "late_policies": (
+        lambda s, d: x.late_policies(slots.arrival_classes(faulty(s, d), faults.session_fences(faulty(s, d), LEASE)), "client_id"),
+        f"""with {_FENCES}, c as (select f.client_id, f.num_msg, u.batch_id is not null as lead, p.release, f.arrival, f.arrival > n.fence_tick and f.batch_seq >= n.fence_seq as fenced from faulty f
+  left join firsts u on u.client_id = f.client_id and u.session_epoch = f.session_epoch and u.batch_seq = f.batch_seq and u.arrival = f.arrival and u.broker_id = f.broker_id
+  left join prefix p on p.client_id = f.client_id and p.session_epoch = f.session_epoch and p.batch_seq = f.batch_seq left join fences n on n.client_id = f.client_id and n.session_epoch = f.session_epoch),
+k as (select client_id, num_msg, coalesce(not coalesce(fenced, false) and not lead and release <= arrival, false) as late, not coalesce(fenced, false) and lead and coalesce(release <> arrival, true) as held from c)
+select client_id, sum(late::int)::bigint as dropped, sum(case when late then num_msg else 0 end)::bigint as credited, sum(late::int)::bigint as emitted, sum(late::int)::bigint as rejected, sum(held::int)::bigint as held from k group by client_id""",
+    ),
+    "delivery_stages": (
+        lambda s, d: traces.tail_breakdown(
+            traces.best_receive(_stages(s, d), batches(s, d).where("batch_id % 9 <> 0").select("batch_id", (F.col("latency_us") % 97).alias("latency_us"), F.col("num_msg").alias("age_us")), "batch_id").select("delivered", "ordered", (F.col("acked") - F.col("ordered")).alias("ack_wait"), (F.col("delivered") - F.col("acked") - F.coalesce("receive_us", F.lit(0))).alias("deliver_wait"), F.coalesce("receive_us", F.lit(0)).alias("receive")),
+            "delivered",
+            ["ordered", "ack_wait", "deliver_wait", "receive"],
+            0.99,
+        ),
+        f"""with {_SQL_STAGES}, j as (select s.*, case when s.batch_id % 9 <> 0 then b.latency_us % 97 else 0 end as receive from stages s join batches b using (batch_id)), e as (select quantile_disc(delivered, 0.99) as edge from j),
+m as (select count(*)::bigint as n, max(edge) as edge, round(avg(ordered), 4) as ordered, round(avg(acked - ordered), 4) as ack_wait, round(avg(delivered - acked - receive), 4) as deliver_wait, round(avg(receive), 4) as receive from j, e where delivered >= edge)
+select *, case greatest(ordered, ack_wait, deliver_wait, receive) when ordered then 'ordered' when ack_wait then 'ack_wait' when deliver_wait then 'deliver_wait' else 'receive' end as dominant from m""",
+    ),
 }

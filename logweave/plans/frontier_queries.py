@@ -155,7 +155,7 @@ select client_id, sum(num_msg)::bigint as credited, count(*)::bigint as batches
     "ack_rf_policy": (
         lambda s, d: s.range(4).select((F.col("id") - 1).alias("ack")).join(s.range(5).select((F.col("id") - 1).alias("factor"))).join(_levels(s).select("ord", "sequencer").distinct()).select("ack", "factor", F.col("ord").cast("long"), "sequencer", frontier.policy_error(F.col("ack"), F.col("factor"), F.col("ord"), F.col("sequencer")).alias("error")),
         """with g as (select a - 1 as ack, f - 1 as factor, ord, sequencer from range(4) x(a), range(5) y(f), (values (0, 'NATIVE'), (2, 'NATIVE'), (5, 'NATIVE'), (1, 'SCALOG'), (2, 'LAZYLOG'), (2, 'CORFU')) l(ord, sequencer))
-select ack, factor, ord::bigint as ord, sequencer, case when ack not between 0 and 2 then 'ack level must be 0, 1 or 2' when factor < 0 then 'replication factor must not be negative' when ack = 2 and factor < 2 then 'ack level 2 needs a replication factor of 2 or more'
+select ack, factor, ord::bigint as ord, sequencer, case when ack not between 0 and 2 then 'ack_level must be 0, 1, or 2 (got ' || ack || ')' when factor < 0 then 'replication_factor must be >= 0 (got ' || factor || ')' when ack = 2 and factor < 2 then 'ACK level 2 requires replication_factor>=2 (RF includes the CXL primary; got replication_factor=' || factor || ')'
   when sequencer in ('CORFU', 'LAZYLOG') and ord <> 2 then 'sequencer needs order 2' when sequencer = 'SCALOG' and ord <> 1 then 'sequencer needs order 1' end as error from g""",
     ),
     "replica_roles": (lambda s, d: frontier.replica_roles(4, 2, s), "select b as broker_id, r as role, (b + r) % 4 as replica from range(4) x(b), range(2) y(r)"),

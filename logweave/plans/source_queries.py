@@ -94,7 +94,7 @@ def _requests(s, d):
 
 _SQL_REQUESTS = """q as (select event_id * 13 % 50 as topic, event_id as at_, case when event_id % 9 = 4 then 'delete' else 'create' end as action, event_id % 4 - case when event_id % 4 = 3 then 2 else 0 end as ack, event_id % 3 as factor,
   case when event_id % 5 = 0 then case when event_id % 35 = 0 then 5 else 2 end when event_id % 7 = 0 then 1 else (event_id % 3) * 2 end as ord, case when event_id % 5 = 0 then 'CORFU' when event_id % 7 = 0 then 'SCALOG' else 'NATIVE' end as sequencer from events),
-v as (select *, case when ack = 2 and factor < 2 then 'ack level 2 needs a replication factor of 2 or more' when sequencer = 'CORFU' and ord <> 2 then 'sequencer needs order 2' end as err, count(*) filter (action = 'delete') over (partition by topic order by at_ rows between unbounded preceding and 1 preceding) as life from q),
+v as (select *, case when ack = 2 and factor < 2 then 'ACK level 2 requires replication_factor>=2 (RF includes the CXL primary; got replication_factor=' || factor || ')' when sequencer = 'CORFU' and ord <> 2 then 'sequencer needs order 2' end as err, count(*) filter (action = 'delete') over (partition by topic order by at_ rows between unbounded preceding and 1 preceding) as life from q),
 w as (select *, min(case when action = 'create' and err is null then at_ end) over (partition by topic, life) as first from v),
 a as (select w.*, case when w.action = 'delete' then case when w.first is null then 'UNKNOWN' else 'DELETED' end when w.err is not null then w.err when w.at_ = w.first then 'CREATED' when w.ack = f.ack and w.factor = f.factor and w.ord = f.ord and w.sequencer = f.sequencer then 'EXISTS' else 'CONFLICT' end as answer
   from w left join q f on f.at_ = w.first)"""
