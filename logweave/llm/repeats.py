@@ -322,8 +322,10 @@ def find(docs: DataFrame, length: int = 400, gram: int = GRAM, frequent: int = F
         runs = scratch.save(_runs(rows, length, gram), "runs")
         live = scratch.save(runs.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "live")
         same = ["g", "c", "c1", "c2"]
-        classes = _held_by(runs, live, ["g"]).groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p")).alias("u"))
-        classes = scratch.save(classes, "classes")
+        # The complement of g keeps Spark from aggregating where it has joined, with all of a frequent gram's rows in one task.
+        alive = _held_by(runs, live, ["g"]).withColumn("g", F.bitwise_not("g"))
+        classes = alive.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "r1", "s0", "s1", "p")).alias("u"))
+        classes = scratch.save(classes.withColumn("g", F.bitwise_not("g")), "classes")
         again = scratch.save(classes.where("n > 1").select(*same), "again")
         whole = _held_by(runs, again, same).select(*_SPAN.names)
         mixed = scratch.save(classes.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("m")).where("k > 1 and m = 1").select("g"), "mixed")
