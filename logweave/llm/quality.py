@@ -1,6 +1,7 @@
 """Quality scores by Bradley-Terry ranking: preference pairs, logistic loss on feature differences, quantile threshold.
 
-A text becomes a short vector of surface features. A pair prefers a document labelled 1 to one labelled 0, and the
+A text becomes a vector of surface features (character kinds, and how varied and repeated its words and lines are) and of
+content (the shares of its words' character trigrams, hashed). A pair prefers a document labelled 1 to one labelled 0, and the
 probability that it wins is the logistic function of the difference of their scores w.x. The cut is a quantile of the
 training scores, and the reported score maps the cut to the threshold. Null and empty texts have the feature vector of
 an empty text; repeated rows and ties are scored alike; extra columns are ignored.
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm import ngrams
 from logweave.llm.common import arrow_map, bounded_sample, byte_lists, crc_mod, first_rows, packed, utf8
 
 #: Upper bound of the labelled rows that a fit gathers (their features only); the smallest hashes of the ids are taken.
@@ -34,11 +36,14 @@ _KIND[[ord(c) for c in "#$%&*@^~_+=<>{}[]\\/`"]] = 8
 _KIND[ord("|")] = 9
 _KIND[0x80:] = 10
 
-FEATURES = 24
+#: Surface features, and bits of the hashed trigrams.
+SURFACE, GRAMS = 20, 6
+FEATURES = SURFACE + (1 << GRAMS)
+_MAP = ngrams.letters_table(False)
 
 
 def features(text: bytes) -> np.ndarray:
-    """Shares of character kinds, and how long, varied and repeated the words and lines are."""
+    """Shares of character kinds, how long, varied and repeated words and lines are, and the shares of hashed trigrams."""
     out = np.zeros(FEATURES)
     if not text:
         out[0] = 1
@@ -57,10 +62,9 @@ def features(text: bytes) -> np.ndarray:
     out[17] = len(kinds) / np.sqrt(m) / 20
     out[18] = sum(1 for a, b in zip(words, words[1:], strict=False) if a == b) / m
     out[19] = sum(x.rstrip()[-1:] in (b".", b"?", b"!", b":") for x in lines) / max(1, len(lines))
-    out[20] = float(counts[7] + counts[8] + counts[9] > 0.02)
-    out[21] = float(counts[2] > counts[1])
-    out[22] = float(out[12] < 0.3)
-    out[23] = float(m < 20)
+    buf, _, _ = ngrams.joined([text], _MAP)
+    inside = ngrams.gram_ids(buf, 3, GRAMS)[ngrams.inside_words(buf, 3)]
+    out[SURFACE:] = np.sqrt(np.bincount(inside, minlength=1 << GRAMS) / max(1, len(inside)))
     return out
 
 
@@ -84,7 +88,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, pairs: int = PAIRS, steps: int = 400, decay: float = 1e-4, seed: int = 11) -> QualityModel:
+def fit(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, pairs: int = PAIRS, steps: int = 300, decay: float = 1e-3, seed: int = 11) -> QualityModel:
     """Full-batch Nesterov descent on the pairwise logistic loss. Without both classes: a constant model."""
     x, y = np.asarray(x, float).reshape(-1, FEATURES), np.asarray(y)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y != 1)
@@ -92,6 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, threshold: float = 0.7, pairs: int = PAIRS
         cut = -1.0 if len(good) or not len(y) else 1.0
         return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), cut, 1.0, threshold)
     centre, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    scale[SURFACE:] = scale[SURFACE:].max()  # one scale, so that rare buckets weigh little
     z, rng = (x - centre) / scale, np.random.default_rng(seed)
     diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     w, moving, rate = np.zeros(FEATURES), np.zeros(FEATURES), 4 / max(1e-9, np.linalg.eigvalsh(diff.T @ diff / pairs)[-1])
