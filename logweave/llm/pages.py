@@ -83,7 +83,8 @@ class Page:
     def _read(self, html: str, by_name: bool) -> None:
         self.paths: list[int] = []
         self.parents: list[int] = []
-        self.homes: list[int] = []  # the container that an element's text counts for
+        self.homes: list[int] = []  # the container that an element's text counts for: in an article the article itself
+        self.anchored: list[bool] = []  # in an article
         self.good: list[bool] = []
         self.blocks: list[tuple[str, int, int]] = []  # text, characters outside links, element
         self.known: dict[tuple[int, str], int] = {}
@@ -159,7 +160,10 @@ class Page:
         e, name = len(self.paths), tag + "".join(f".{w}" for w in sorted(words))
         self.paths.append(self.known.setdefault((self.paths[parent] if parent >= 0 else -1, name), len(self.known)))
         self.parents.append(parent)
-        self.homes.append(e if tag not in _BLOCK else self.homes[parent] if parent >= 0 else -1)
+        above = self.homes[parent] if parent >= 0 else -1
+        stays = tag in _BLOCK or parent >= 0 and self.anchored[parent] and tag != "article"
+        self.homes.append(above if stays else e)
+        self.anchored.append(tag == "article" or parent >= 0 and self.anchored[parent])
         self.good.append(tag in ("article", "main") or bool(words & _GOOD_WORDS))
         return e
 
