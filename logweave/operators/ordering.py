@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 SESSION = ["client_id", "session_epoch"]
 #: Epochs of a coarse range: the top level has a row for each range.
 COARSE = 1024
+#: Numbers of a range of a key's contiguous prefix.
+RANGE = 4096
 
 
 def first_copies(batches: DataFrame, *key: str) -> DataFrame:
@@ -24,18 +26,29 @@ def first_copies(batches: DataFrame, *key: str) -> DataFrame:
     return batches.groupBy(*key).agg(F.min(ranked).alias("_r")).select(*key, "_r.*").select(*batches.columns)
 
 
-def contiguous(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """Rows of the contiguous prefix 0, 1, 2, ... of each key; rows are distinct in (key, seq)."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(seq)) - 1
-    return rows.withColumn("_p", place).where(F.col("_p") == F.col(seq)).drop("_p")
+def contiguous(rows: DataFrame, key: list[str], seq: str, maxima: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the contiguous prefix 0, 1, 2, ... of each key; rows are distinct in (key, seq). maxima adds running maxima
+    along the prefix: {result: column}.
+
+    A key's numbers are cut in ranges of RANGE. A range can hold rows of the prefix if all before it are full, which their
+    counts tell; only a row for each range meets others of its key, so a key of any size is spread over tasks.
+    """
+    maxima = maxima or {}
+    ranged = rows.withColumn("_r", F.expr(f"{seq} div {RANGE}"))
+    by = ranged.groupBy(*key, "_r").agg(F.count("*").alias("_n"), *(F.max(c).alias(f"_x_{r}") for r, c in maxima.items()))
+    ahead = Window.partitionBy(*key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = by.select(*key, "_r", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_b"), *(F.max(f"_x_{r}").over(ahead).alias(f"_x_{r}") for r in maxima))
+    here = Window.partitionBy(*key, "_r").orderBy(seq)
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(before.where(F.col("_b") == F.col("_r") * RANGE), [*key, "_r"]).withColumn("_p", F.row_number().over(here) - 1 + F.col("_b"))
+    out = out.where(F.col("_p") == F.col(seq)).withColumns({r: F.greatest(f"_x_{r}", F.max(c).over(so_far)) for r, c in maxima.items()})
+    return out.select(*rows.columns, *maxima)
 
 
 def release(batches: DataFrame, key: list[str] | None = None, seq: str = "batch_seq") -> DataFrame:
     """Committed batches with release (tick) and commit_epoch: running maxima over the contiguous prefix."""
     key = key or SESSION
-    so_far = Window.partitionBy(*key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    done = contiguous(first_copies(batches, *key, seq), key, seq)
-    return done.withColumns({"release": F.max("arrival").over(so_far), "commit_epoch": F.max("epoch").over(so_far)})
+    return contiguous(first_copies(batches, *key, seq), key, seq, {"release": "arrival", "commit_epoch": "epoch"})
 
 
 def prefix_sums(rows: DataFrame, epoch: str, order: list[Column | str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:

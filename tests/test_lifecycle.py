@@ -171,3 +171,11 @@ def test_labels(spark):
     frame = spark.range(1)
     label = lambda *a: frame.select(experiments.fifo_mode(*map(F.lit, a[:5]), a[5]).alias("x")).first().x
     assert [label(False, "auto", 1, "OWN", 5, "OWN"), label(True, "manual", 1, "OWN", 5, "OWN"), label(True, "auto", 1, "SCALOG", 1, "OWN"), label(True, "auto", 0, "OWN", 5, "OWN"), label(True, "auto", 0, "CORFU", 2, "OWN"), label(True, "auto", 0, "SCALOG", 1, "OWN")] == ["", "manual", "stop_and_wait", "native", "token_order", "none"]
+
+
+def test_prefix_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE", 4)
+    numbers = {1: [*range(11), 12, 13], 2: [*range(4), *range(8, 12)], 3: [1, 2], 4: [*range(8)]}
+    log = [(100 * c + q, c, 0, q, 0, 1, (q * 7) % 10, q) for c, qs in numbers.items() for q in qs]
+    got = rows(ordering.release(spark.createDataFrame(log, LOG)), "client_id", "batch_seq", "release")
+    assert got == [(c, q, max((k * 7) % 10 for k in range(q + 1))) for c, n in ((1, 11), (2, 4), (4, 8)) for q in range(n)]
