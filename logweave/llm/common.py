@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import uuid
@@ -105,29 +107,44 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, remembers: str = "") -> DataFrame:
     """mapInArrow with batches of at most BATCH_ROWS rows and BATCH_BYTES bytes.
 
-    Both bounds are settings of the session; where it has its own for the bytes, that one holds.
+    Both bounds are settings of the session; where it has its own for the bytes, that one holds. remembers: under which name
+    fn keeps things between batches, see remember().
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        _forget_others(remembers)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 _REMEMBERING: dict[str, Callable[[], None]] = {}
 
 
-def sole_memory(name: str, forget: Callable[[], None]) -> None:
-    """Say that this operator remembers things between batches and how it forgets them. A worker serves one operator after
-    the other; what the others remember goes."""
-    for other in [n for n in _REMEMBERING if n != name]:
-        _REMEMBERING.pop(other)()
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Say how a worker forgets what an operator keeps in it between batches. Workers serve one operator after the other;
+    what is kept goes when a task of another name begins."""
     _REMEMBERING[name] = forget
 
 
+def _forget_others(name: str) -> None:
+    others = [n for n in _REMEMBERING if n != name]
+    for other in others:
+        _REMEMBERING.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what C's allocator has left over, where it can give it back
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: str = "text") -> Column:
     """The column's UTF-8 bytes; null stays null."""
     return F.col(column).cast("string").cast("binary")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, files_for, materialize, mix64, packed, sole_memory, utf8
+from logweave.llm.common import Scratch, arrow_map, broadcast_if_small, byte_lists, files_for, materialize, mix64, packed, remember, utf8
 
 K = 64
 #: A value in more sketches than this stands by its count, for at most so many of the most frequent values (24 bytes each
@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
-        sole_memory("shingles", _HASHES.clear)
+        remember("shingles", _HASHES.clear)
         for batch in batches:
             sets = [shingle_set(t, size) for t in byte_lists(batch)]
             yield packed({
@@ -117,7 +117,7 @@ def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
             }, schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), _text_hash().alias("th"), utf8().alias("text"))
-    return arrow_map(rows, run, "doc_id long, th long, n_shingles long, fp binary, sketch binary, bits array<long>")
+    return arrow_map(rows, run, "doc_id long, th long, n_shingles long, fp binary, sketch binary, bits array<long>", "shingles")
 
 
 def _text_hash():
@@ -168,13 +168,14 @@ def _own_shingles(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
+        remember("shingles", _HASHES.clear)
         for batch in batches:
             sets = [shingle_set(t, size).view(np.int64) for t in byte_lists(batch)]
             many = [len(x) for x in sets]
             if sum(many):
                 yield packed({"node": np.repeat(np.array(batch.column("node").to_pylist(), np.int64), many), "v": np.concatenate(sets)}, schema)
 
-    held = arrow_map(texts.select("node", "text"), run, "node long, v long").groupBy("v").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    held = arrow_map(texts.select("node", "text"), run, "node long, v long", "shingles").groupBy("v").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     return held.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
 
 
@@ -217,6 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        remember("shingles", _HASHES.clear)
         last, held = None, None
         for batch in batches:
             keep = []
@@ -228,7 +230,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 keep.append(inter > 0 and 100 * inter >= percent * (len(held) + len(other) - inter))
             yield packed({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}, schema)
 
-    return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), run, "a long, b long")
+    return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), run, "a long, b long", "shingles")
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
