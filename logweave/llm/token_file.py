@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import uuid
 import zlib
 
@@ -22,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.llm.common import arrow_map, broadcast_if_small, packed, shared_dir
+from logweave.llm.common import arrow_map, broadcast_if_small, packed, remember, shared_dir
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-#: Chunks that a worker remembers with their ids before it starts anew; bounds its memory.
-MEMO = 800_000
+#: Parts, and characters of them, that a worker remembers with their ids before it starts anew; bounds its memory.
+MEMO, MEMO_CHARACTERS = 800_000, 16_000_000
 
 
 def writer_options(row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 512) -> dict[str, str]:
@@ -48,9 +47,21 @@ _LETTERS, _NUMBERS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\
 _LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
 
+class _Numbers(dict):
+    """Numbers of parts in the order in which they are first asked for; the new ones are listed."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = k = len(self)
+        self.new.append(part)
+        return k
+
+
 class Encoder:
-    """Ids of whole texts from the tokenizers library, put together from the ids of their parts, which are remembered
-    as little-endian words.
+    """Ids of whole texts from the tokenizers library, put together from the ids of their parts, which are remembered: each
+    part has a number, and by it a place in one array of ids.
 
     A word vocabulary turns white space to a space that its pre-tokenizer drops, and nothing looks across it, so the ids
     of a text are those of its chunks between spaces and line feeds, in order. Latin-1 text needs no normalisation but
@@ -68,13 +79,17 @@ class Encoder:
         pattern = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex", "")
         #: Whether the vocabulary is of the kind that is cut into pre-tokens, or into chunks at least.
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.known: dict[str, bytes] = {}
-        self.memo = memo
         suffix = spec["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         #: By id, whether a token ends a pre-token.
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[k for name, k in vocabulary.items() if suffix and name.endswith(suffix)]] = True
+        self.memo = memo
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.held = _Numbers(), 0
+        self.ends, self.data = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # of part k the ids from ends[k] to ends[k + 1]
 
     def cut(self, text: str) -> tuple[list[str], bool]:
         """The parts of a text, and whether they are pre-tokens."""
@@ -88,32 +103,44 @@ class Encoder:
                 pass
         return text.replace("\n", " ").split(" "), False
 
-    def learn(self, new: list[str], pre_tokens: bool) -> None:
-        """Remember the ids of new parts. Pre-tokens are encoded many at a time, and told apart by the ids that end one."""
+    def _ids(self, new: list[str], pre_tokens: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, and how many each has. Pre-tokens are encoded many at a time, and told apart by the ids that end one."""
         if pre_tokens:
             joined = self.tokenizer.encode_batch_fast([" ".join(new[k : k + 500]) for k in range(0, len(new), 500)], add_special_tokens=False)
-            ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(e.ids, "<u4") for e in joined)])
-            edges = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in joined)])
+            edges = np.flatnonzero(self.last[ids]) + 1
             if len(edges) == len(new):
-                data, start = ids.astype("<u4").tobytes(), 0
-                for part, end in zip(new, edges, strict=True):
-                    self.known[part] = data[start:end]
-                    start = end
-                return
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        found = [self.cut(t) for t in texts]
-        if len(self.known) > self.memo:
-            self.known.clear()
-        for pre_tokens in (True, False):
-            new = [c for c in set().union(*(p for p, kind in found if kind == pre_tokens)) if c not in self.known]
-            for k in range(0, len(new), 10_000):
-                self.learn(new[k : k + 10_000], pre_tokens)
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) + end for parts, _ in found]
+                return ids, np.diff(edges, prepend=0)
+        each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+
+    def _learn(self, pre_tokens: bool) -> None:
+        new, self.known.new = self.known.new, []
+        self.held += sum(map(len, new))
+        found = [self._ids(new[k : k + 10_000], pre_tokens) for k in range(0, len(new), 10_000)]
+        self.data = np.concatenate([self.data, *(ids for ids, _ in found)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)]))])
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's with the end id behind them, and how many each has."""
+        if len(self.known) > self.memo or self.held > MEMO_CHARACTERS:
+            self.forget()
+        cut = [self.cut(t) for t in texts]
+        number, numbers = self.known.__getitem__, [None] * len(texts)
+        for kind in (True, False):
+            for k, (parts, pre_tokens) in enumerate(cut):
+                if pre_tokens == kind:
+                    numbers[k] = np.fromiter(map(number, parts), np.int64, len(parts))
+            self._learn(kind)
+        parts = np.concatenate([np.zeros(0, np.int64), *numbers])
+        start, size = self.ends[parts], self.ends[parts + 1] - self.ends[parts]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.data[np.arange(before[-1]) + np.repeat(start - before[:-1], size)]
+        edges = before[np.cumsum([0, *map(len, numbers)])]  # of texts
+        sizes = np.diff(edges)
+        if end is not None:
+            ids, sizes = np.insert(ids, edges[1:], np.uint32(end)), sizes + 1
+        return ids, sizes
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -128,23 +155,19 @@ def encoder_for(path: str) -> Encoder:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, **options) -> None:
     """Encode docs(doc_id, text) and write the token files in ascending doc_id order."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encoder, part, start = encoder_for(tokenizer_path), TaskContext.get().partitionId(), 0
+        remember("tokens", encoder.forget)
         for batch in batches:
-            ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            after = start + np.cumsum(sizes)
-            tokens = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)),
-            )
-            yield packed({"doc_id": batch.column("doc_id"), "part": np.full(len(ids), part, np.int32), "part_start": after - sizes, "n_tokens": sizes, "tokens": tokens}, _ARROW)
-            start = int(after[-1]) if len(after) else start
+            ids, sizes = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
+            after = np.cumsum(sizes)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after]).astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield packed({"doc_id": batch.column("doc_id"), "part": np.full(len(sizes), part, np.int32), "part_start": start + after - sizes, "n_tokens": sizes, "tokens": tokens}, _ARROW)
+            start += len(ids)
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    arrow_map(ordered, run, SCHEMA).write.options(**(writer_options() | options)).parquet(path)
+    arrow_map(ordered, run, SCHEMA, "tokens").write.options(**(writer_options() | options)).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
