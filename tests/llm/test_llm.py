@@ -158,12 +158,10 @@ def test_pages_follow_their_host(spark):
 
 def brute_topk(rows, k):
     usable = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    dim = max((n, d) for d, n in collections.Counter(len(v) for _, v in usable).items())[1] if usable else 0
-    usable = [(i, v) for i, v in usable if len(v) == dim]
     out = set()
     for i, q in usable:
         if i % 20 == 0:
-            best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in usable if j != i))
+            best = heapq.nsmallest(k, ((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in usable if j != i and len(c) == len(q)))
             out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
     return out
 
@@ -171,7 +169,8 @@ def brute_topk(rows, k):
 def test_topk(spark):
     rnd = random.Random(3)
     rows = [(i, [rnd.gauss(0, 1 + i % 3) for _ in range(6)]) for i in range(300)]
-    rows += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [1.0]), (405, []), *[(500 + k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for k in range(40)]]
+    rows += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, [1.0]), (405, []), (406, [0.0] * 6), *[(500 + k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for k in range(40)]]
+    rows += [(600 + k, [rnd.gauss(0, 1) for _ in range(2)]) for k in range(50)]  # ragged
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("norm", F.lit("clash"))
     got = {tuple(r) for r in topk.search(frame, F.col("id") % 20 == 0).collect()}
     want = brute_topk([(r.vec_id, r.embedding) for r in frame.collect()], 20)
@@ -181,6 +180,17 @@ def test_topk(spark):
     assert topk.search(frame.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_topk_of_large_values(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(20, [1.0, 2.0]), (1, [2e7, 0.0]), (2, [1.0, 1.0]), (3, [-3e9, 1e6]), (40, [12345678.25, -1e8]), (60, [0.0, 0.0])]
+    got = {tuple(r) for r in topk.search(spark.createDataFrame(rows, schema), F.col("id") % 20 == 0, 2).collect()}
+    assert got == brute_topk(rows, 2)
+    assert {(q, v) for q, r, v, _ in got if r == 1} >= {(20, 1)}
+    for bad in ([1e18, 0.0], [-1e18, 0.0], [1e307, 0.0]):
+        with pytest.raises(Exception, match="range"):
+            topk.search(spark.createDataFrame([(20, [1e18, 0.0]), (1, bad)], schema), F.col("id") % 20 == 0).collect()
+
+
 TOXIC, PLAIN = ["idiot", "moron", "scum"], ["house", "river", "green", "walks", "bright", "table", "summer", "letter"]
 
 
@@ -414,3 +424,50 @@ def test_query_equals_oracle(spark, name):
 def test_vocabulary_kind():
     spec = json.load(open(tokenizer_path("word_bpe_49k.json")))
     assert token_file.encoder_for(tokenizer_path("word_bpe_49k.json")).by_word == (spec["model"]["end_of_word_suffix"] == "</w>")
+
+
+def test_parity_bits_bound_the_difference():
+    rnd = np.random.default_rng(1)
+    for _ in range(50):
+        base = rnd.integers(0, 1 << 63, 300, dtype=np.uint64)
+        a, b = np.unique(base[: rnd.integers(1, 300)]), np.unique(base[rnd.integers(0, 299) :])
+        assert neardup.differing_bits(neardup.parity_bits(a), neardup.parity_bits(b)) <= len(np.setxor1d(a, b))
+
+
+def crowd(seed=8, copies=60):
+    """Copies of one text with changes of their own, and with changes that some share: linked to each other, not to the middle."""
+    rnd = random.Random(seed)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for k in range(copies):
+        t = list(base)
+        for j in range(0, 24, 2):
+            t[(j * 8 + k % 6) % 200] = f"x{k % 6}"
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(200)] = f"own{rnd.randrange(40)}"
+        rows.append(" ".join(t))
+    return list(enumerate(rows))
+
+
+def test_crowded_lists(spark, monkeypatch):
+    rows = crowd()
+    want = brute_components(rows, 3, 85)
+    assert len({c for _, _, c in want}) > 3
+    for rounds, room in ((2, 8), (2, 0), (0, 1e9)):
+        monkeypatch.setattr(neardup, "PIVOT_ROUNDS", rounds)
+        monkeypatch.setattr(neardup, "ROOM", room)
+        got = neardup.link(documents(spark, rows), 3, 85).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
+def test_one_of_each_group_stays(spark):
+    first, second = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    rows = [(1, first), (1, second), (2, "other words that stand for themselves alone here"), (3, first), (4, second), (4, second), (5, None), (5, None), (6, ""), (None, first), (None, None), (7, "9 8 7 6 5 4 3 2 1"), (7, "9 8 7 6 5 4 3 2 1")]
+    docs = documents(spark, rows).withColumn("__place", F.lit("clash"))
+    kept = neardup.keep_first(docs, 5, 80)
+    assert kept.columns == docs.columns
+    want = [(1, first), (1, second), rows[2], (5, None), (5, None), (6, ""), (None, first), (None, None), (7, "9 8 7 6 5 4 3 2 1")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.link(docs, 5, 80).where("doc_id in (1, 3, 4)").collect()}
+    assert got == {(1, 1, True), (3, 1, False), (4, 1, False)}
+    assert neardup.keep_first(docs.where("false")).count() == 0
