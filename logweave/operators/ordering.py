@@ -34,21 +34,23 @@ def contiguous(rows: DataFrame, key: list[str], seq: str, maxima: dict[str, str]
     counts tell; only a row for each range meets others of its key, so a key of any size is spread over tasks.
     """
     maxima = maxima or {}
-    ranged = rows.withColumn("_r", F.expr(f"{seq} div {RANGE}"))
-    by = ranged.groupBy(*key, "_r").agg(F.count("*").alias("_n"), *(F.max(c).alias(f"_x_{r}") for r, c in maxima.items()))
-    ahead = Window.partitionBy(*key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = by.select(*key, "_r", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_b"), *(F.max(f"_x_{r}").over(ahead).alias(f"_x_{r}") for r in maxima))
-    here = Window.partitionBy(*key, "_r").orderBy(seq)
+    ranged = rows if "_part" in rows.columns else rows.withColumn("_part", F.expr(f"{seq} div {RANGE}"))
+    by = ranged.groupBy(*key, "_part").agg(F.count("*").alias("_n"), *(F.max(c).alias(f"_x_{r}") for r, c in maxima.items()))
+    ahead = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = by.select(*key, "_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_b"), *(F.max(f"_x_{r}").over(ahead).alias(f"_x_{r}") for r in maxima))
+    here = Window.partitionBy(*key, "_part").orderBy(seq)
     so_far = here.rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(before.where(F.col("_b") == F.col("_r") * RANGE), [*key, "_r"]).withColumn("_p", F.row_number().over(here) - 1 + F.col("_b"))
+    out = ranged.join(before.where(F.col("_b") == F.col("_part") * RANGE), [*key, "_part"]).withColumn("_p", F.row_number().over(here) - 1 + F.col("_b"))
     out = out.where(F.col("_p") == F.col(seq)).withColumns({r: F.greatest(f"_x_{r}", F.max(c).over(so_far)) for r, c in maxima.items()})
-    return out.select(*rows.columns, *maxima)
+    return out.select(*(c for c in rows.columns if c != "_part"), *maxima)
 
 
 def release(batches: DataFrame, key: list[str] | None = None, seq: str = "batch_seq") -> DataFrame:
     """Committed batches with release (tick) and commit_epoch: running maxima over the contiguous prefix."""
     key = key or SESSION
-    return contiguous(first_copies(batches, *key, seq), key, seq, {"release": "arrival", "commit_epoch": "epoch"})
+    # Dealt by range once, which serves the dedup, the counts and the windows.
+    dealt = batches.withColumn("_part", F.expr(f"{seq} div {RANGE}")).repartition(*key, "_part")
+    return contiguous(first_copies(dealt, *key, "_part", seq), key, seq, {"release": "arrival", "commit_epoch": "epoch"})
 
 
 def prefix_sums(rows: DataFrame, epoch: str, order: list[Column | str], sums: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
