@@ -1,5 +1,6 @@
 """Words, repeated passages of short words, and ties of segmentations."""
 
+import collections
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import numpy as np
 import corpus_pipeline
 from logweave.llm import pieces, repeats
 from logweave.llm.common import tokenizer_path
+from tests.llm.test_llm import brute_repeats
 
 
 def test_words_are_parted_as_python_does():
@@ -27,6 +29,45 @@ def test_repeated_passages_of_short_words_go(spark):
     assert got == {1: "one  end", 2: "two words ", 3: rows[2][1], 4: rows[3][1], 5: rows[4][1], 6: None}
 
 
+def periodic_rows():
+    rnd = random.Random(8)
+    noise = lambda: "".join(rnd.choice("xyzw v") for _ in range(rnd.randrange(90)))
+    rows = [(i, f"{noise()} {'he. Is on' * (50 + i)} {noise()}") for i in range(12)]
+    rows += [(20, "ab" * 300), (21, "he. Is on" * 8), (22, noise()), (23, None), rows[3], (24, f"{noise()} {rows[5][1]} é {rows[5][1]}"), (25, "a b " * 99)]
+    return [*rows, (26, f"{noise()} {'a b ' * 9}{noise()}"), (27, f"é {'c d ' * 40}ef")]
+
+
+def test_a_short_period_makes_few_rows(spark):
+    rows = periodic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert repeats.find(docs, 64).count() <= 8 * len(rows)  # one for each period made 1,166
+    assert sorted((tuple(r) for r in repeats.digests(docs, 64).collect()), key=str) == brute_repeats(rows, 64)
+
+
+def test_passages_of_a_short_period_make_few_rows(spark):
+    rows = [(k, t) for k, (_, t) in enumerate(periodic_rows())]
+    seen, at = collections.Counter(), collections.defaultdict(list)
+    for k, t in rows:
+        b = (t or "").encode()
+        for x, y in zip(*(z.tolist() for z in repeats.short_passages(b, 8, 64)), strict=True):
+            seen[b[x:y]] += 1
+            at[k].append((x, y, b[x:y]))
+    want = {(k, i) for k, found in at.items() for x, y, p in found if seen[p] > 1 for i in range(x, y)}
+    found = repeats.find_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8, 64).collect()
+    assert {(r.id, i) for r in found for i in range(r.s0, r.s1 + 64)} == want
+    assert len(found) <= 8 * len(rows)  # 1,916 likewise
+
+
+def test_what_a_document_repeats_by_itself():
+    doc, key = np.array([0, 0, 0, 1, 1, 2]), np.array([5, 7, 5, 5, 7, 9])
+    n, first = repeats.within(doc, key)
+    assert n.tolist() == [2, 1, 2, 1, 1, 1] and first.tolist() == [True, True, False, True, True, True]
+    spans = repeats.united(np.array([0, 0, 0, 1]), np.array([0, 4, 9, 8]), np.array([4, 6, 12, 20]))
+    assert [x.tolist() for x in spans] == [[0, 0, 1], [0, 9, 8], [6, 12, 20]]
+    assert [len(x) for x in repeats.united(*(np.zeros(0, np.int64),) * 3)] == [0, 0, 0]
+    assert [len(x) for x in repeats.within(*(np.zeros(0, np.int64),) * 2)] == [0, 0]
+
+
 def test_tied_segmentations_are_distinct_and_right():
     model = pieces.pieces_for(tokenizer_path("piece_bpe_32k.model"))
 
